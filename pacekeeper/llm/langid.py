@@ -40,16 +40,17 @@ def _letters() -> np.ndarray:
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of ' text ' after ' text ' with runs of other than letters as one space (0), and each text's start."""
+    """Code points of all texts, each after a 0, with runs of other than letters between them as one 0; and each text's start."""
     raw = np.frombuffer("\n".join(["", *(t.lower().replace("\n", " ") for t in texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.flatnonzero(raw == 10)
+    mark = raw == 10
     code = np.where(_letters()[raw], raw, np.uint32(0))
-    keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != 0) | (code[:-1] != 0)
-    keep[ends] = True
-    keep[ends[:-1] + 1] = code[ends[:-1] + 1] != 0
-    starts = (np.cumsum(keep) - 1)[ends]
-    return code[keep], starts
+    keep = mark | (code != 0)
+    keep[1:] |= code[:-1] != 0
+    code, mark = code[keep], mark[keep]
+    keep = np.ones(len(code), bool)  # neither first nor last in a text may be a space
+    keep[:-1] &= mark[:-1] | (code[:-1] != 0) | ~mark[1:]
+    code, mark = code[keep], mark[keep]
+    return code, np.flatnonzero(mark)
 
 
 def grams(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
