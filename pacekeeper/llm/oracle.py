@@ -72,4 +72,23 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLE_SQL = {"op1_sharding": OP1, "op2_decontamination": OP2, "op7_exact_dedup": OP7}
+OP3 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+),
+runs AS (
+  SELECT r, o, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS g
+  FROM (SELECT r, o, l, unnest(range(1, (len(l) - 1)::BIGINT)) AS p FROM d WHERE len(l) >= 3)
+),
+later AS (SELECT r, p FROM (SELECT r, o, p, min({'o': o, 'p': p}) OVER (PARTITION BY g) AS first FROM runs) WHERE {'o': o, 'p': p} > first),
+gone AS (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS q FROM later),
+counted AS (
+  SELECT r, count(*) AS n_removed, count(*) FILTER (NOT joined) AS n_runs, list(q) AS qs
+  FROM (SELECT r, q, coalesce(lag(q) OVER (PARTITION BY r ORDER BY q) = q - 1, false) AS joined FROM gone) GROUP BY r
+)
+SELECT doc_id, len(l)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_runs, 0)::BIGINT AS n_runs,
+  sha256(coalesce(array_to_string(list_filter(l, lambda x, i: NOT coalesce(list_contains(qs, i), false)), chr(10)), '')) AS kept_sha256
+FROM d LEFT JOIN counted USING (r)
+"""
+
+ORACLE_SQL = {"op1_sharding": OP1, "op2_decontamination": OP2, "op3_line_dedup": OP3, "op7_exact_dedup": OP7}
