@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pacekeeper.llm import bpe, decontaminate, exact_dedup, langid, line_dedup, secrets, sharding, simhash, substring_dedup
+from pacekeeper.llm import bpe, class_lm, decontaminate, exact_dedup, langid, line_dedup, secrets, sharding, simhash, substring_dedup
 from pacekeeper.llm.base import table
 
 N_SHARDS = 24
@@ -50,6 +50,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -60,4 +64,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_simhash, op5_bpe, op6_substring_dedup, op7_exact_dedup, op9_secrets, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_decontamination, op3_line_dedup, op4_simhash, op5_bpe, op6_substring_dedup, op7_exact_dedup, op8_class_lm, op9_secrets, op10_language_id)}
