@@ -19,6 +19,7 @@ than key, text and label are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +32,7 @@ UNKNOWN = "und"
 SAMPLE, BITS, MOST_LANGS, EPOCHS = 4000, 16, 256, 3
 MOST_SAMPLE_CHARS = 20_000_000
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_STEP = 400_000
+_STEP = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -100,6 +101,19 @@ class Model:
         return [self.langs[i] for i in best], p[np.arange(len(best)), best].clip(0, 1).tolist()
 
 
+def _portions(texts: list[str]) -> Iterator[list[int]]:
+    """Numbers of neighbouring texts, at most ``_STEP`` characters together unless one is longer."""
+    some, size = [], 0
+    for i, t in enumerate(texts):
+        if some and size + len(t) > _STEP:
+            yield some
+            some, size = [], 0
+        some.append(i)
+        size += len(t)
+    if some:
+        yield some
+
+
 def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> Model | None:
     langs = sorted(set(labels))
     if not langs:
@@ -107,13 +121,14 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPO
     if len(langs) == 1:
         return Model(langs, np.zeros((1 << bits, 1), np.float32), np.zeros(1), 1.0, bits)
     size = 1 << bits
-    feat, at = grams(texts, bits)
     data = []
     df = np.zeros(size)
-    for i in range(len(texts)):
-        f, c = np.unique(feat[at[i] : at[i + 1]], return_counts=True)
-        df[f] += 1
-        data.append((f, c / max(1, c.sum())))
+    for some in _portions(texts):
+        feat, at = grams([texts[i] for i in some], bits)
+        for a, b in zip(at, at[1:]):
+            f, c = np.unique(feat[a:b], return_counts=True)
+            df[f] += 1
+            data.append((f, (c / max(1, c.sum())).astype(np.float32)))
     idf = np.log((1 + len(texts)) / (1 + df)) + 1
     y = np.array([langs.index(x) for x in labels])
     order = np.random.default_rng(seed).permutation(len(texts))
@@ -143,7 +158,8 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPO
             n[rows] += g * g
     w = weights(np.arange(size + 1))
     model = Model(langs, (w[:size] * idf[:, None] * 20.0).astype(np.float32), w[size], 1.0, bits)
-    raw = model.logits([texts[i] for i in held])
+    tests = [texts[i] for i in held]
+    raw = np.concatenate([model.logits([tests[i] for i in some]) for some in _portions(tests)])
     yh = y[held]
 
     def loss(t: float) -> float:
@@ -175,15 +191,10 @@ def train(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text"
 def _predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     todo = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))] if model is not None else []
-    at = 0
-    while at < len(todo):
-        some, size = [], 0
-        while at < len(todo) and (not some or size + len(texts[todo[at]]) < _STEP):
-            some.append(todo[at])
-            size += len(texts[todo[at]])
-            at += 1
-        for i, lang, score in zip(some, *model.predict([texts[i] for i in some])):
-            langs[i], scores[i] = lang, score
+    found = [texts[i] for i in todo]
+    for some in _portions(found):
+        for i, lang, score in zip(some, *model.predict([found[i] for i in some])):
+            langs[todo[i]], scores[todo[i]] = lang, score
     return langs, scores
 
 
