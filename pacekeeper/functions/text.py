@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 Text = Column | str
 
@@ -51,7 +52,7 @@ def jaccard(a: Text, b: Text) -> Column:
     return jaccard_of_sets(F.array_distinct(tokens(a)), F.array_distinct(tokens(b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     def one(x: str, y: str) -> float:
         if not x or not y:

@@ -14,6 +14,7 @@ import tokenize
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from pacekeeper.functions.text import basic_clean, scrub_author
 
@@ -72,12 +73,12 @@ def clean_python(code: str) -> tuple[str, str]:
     return code, "python"
 
 
-@F.pandas_udf("struct<code:string,method:string>")
+@F.pandas_udf(StructType([StructField("code", StringType()), StructField("method", StringType())]))
 def _python(x: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([clean_python(c) if c is not None else (None, None) for c in x], columns=["code", "method"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def python_syntax(x: pd.Series) -> pd.Series:
     def one(code: str | None) -> str:
         try:
