@@ -193,7 +193,7 @@ def _choices(views: DataFrame, classes: np.ndarray, m: np.ndarray, half: int) ->
 
     out = classes.copy()
     parts: dict[int, np.ndarray] = {}
-    for r in views.select("w", "side", "other", "n").mapInArrow(run, "w long, c long, vec array<double>").toLocalIterator():
+    for r in views.select("w", "side", "other", "n").mapInArrow(run, "w long, c long, vec array<double>").collect():  # a row for each kept word
         if classes[r["w"]] >= free:
             continue
         if r["vec"] is None:
