@@ -263,10 +263,11 @@ def strip_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, most_hits: int = 0, most_share: float = 0.5, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, most_hits: int = 0, most_share: float = 0.5, key: str = "doc_id", text: str = "text", window: int = WINDOW, length: str | None = None) -> DataFrame:
     """``docs`` with hit spans cut out of their texts; rows go whose hit words exceed ``most_share`` of their words.
 
-    Rows with at most ``most_hits`` hit words stay as they are. All columns stay; only the text changes.
+    Rows with at most ``most_hits`` hit words stay as they are. All columns stay; only the text changes, and the column ``length``,
+    if one is named, to its number of characters.
     """
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "decontaminated")
@@ -279,4 +280,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_hits: int = 0, most_sh
         return body if not spans or body is None else strip_spans(body.encode(), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
 
     left = joined.filter(~F.coalesce("_gone", F.lit(False)))
-    return left.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("spans")))).select(*names)
+    hit = F.col("spans").isNotNull()
+    out = left.withColumn(text, F.when(hit, cut(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    if length is not None:
+        out = out.withColumn(length, F.when(hit, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
+    return out.select(*names)
