@@ -35,47 +35,61 @@ def _last(array: Column) -> Column:
     return F.try_element_at(array, F.lit(-1))
 
 
+def _let(value: Column, fn) -> Column:
+    """``fn`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _places(t: Column) -> Column:
+    """Start of each found token: what lies before it, gaps and tokens."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, g: n + F.length(g))
+    return F.transform(t["found"], lambda v, i: F.struct((total(F.slice(t["gaps"], 1, i + 1)) + total(F.slice(t["found"], 1, i))).alias("p"), v.alias("v")))
+
+
+def _nearest(t: Column) -> Column:
+    """The label with the number nearest after it; of equal ones the first number."""
+    pairs = F.transform(t["numbers"], lambda n, i: F.transform(F.filter(t["labels"], lambda d: d["p"] < n["p"]), lambda d: F.struct((n["p"] - d["p"]).alias("far"), i.alias("i"), d["v"].alias("d"), n["v"].alias("v"))))
+    return F.array_min(F.flatten(pairs))
+
+
 def format_late(x: Column | str) -> Column:
     """struct(direction, value): FASTER or SLOWER with the number nearest after it, on the last line."""
-    upper = F.upper(_body(x))
-    line = F.upper(_last_line(_body(x)))
-    found = F.regexp_extract_all(line, F.lit(_TOKEN), F.lit(1))
-    gaps = F.split(line, _TOKEN, -1)
-    where = F.transform(
-        F.sequence(F.lit(1), F.size(found)),
-        lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice(found, 1, i - 1), F.lit(0), lambda a, g: a + F.length(g)),
-    )
-    marked = F.when(F.size(found) == 0, F.array().cast("array<struct<p:int,v:string>>")).otherwise(F.zip_with(where, found, lambda p, v: F.struct(p.alias("p"), v.alias("v"))))
-    labels = F.filter(marked, lambda t: t["v"].isin("FASTER", "SLOWER"))
-    numbers = F.filter(marked, lambda t: ~t["v"].isin("FASTER", "SLOWER"))
-    ranked = F.flatten(
-        F.transform(
-            F.zip_with(numbers, F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1))), lambda n, i: F.struct(n["p"].alias("p"), n["v"].alias("v"), i.alias("i"))),
-            lambda n: F.transform(F.filter(labels, lambda d: d["p"] < n["p"]), lambda d: F.struct((n["p"] - d["p"]).alias("far"), n["i"].alias("i"), d["v"].alias("d"), n["v"].alias("v"))),
-        )
-    )
-    near = F.array_min(F.filter(ranked, lambda t: t["far"].isNotNull()))
-    anywhere = _last(F.regexp_extract_all(upper, F.lit(_LABEL), F.lit(1)))
-    label = F.when(F.size(labels) == 0, anywhere).when(near.isNotNull(), near["d"]).otherwise(_last(labels)["v"])
-    value = F.when((F.size(labels) == 0) | (F.size(numbers) == 0), F.lit(None).cast("double")).when(near.isNotNull(), _number(near["v"])).otherwise(_number(_last(numbers)["v"]))
-    return F.struct(label.alias("direction"), value.alias("value"))
+    is_label = lambda t: t["v"].isin("FASTER", "SLOWER")
+
+    def result(t: Column) -> Column:
+        none, last = F.size(t["labels"]) == 0, _last(t["labels"])["v"]
+        anywhere = _last(F.regexp_extract_all(t["upper"], F.lit(_LABEL), F.lit(1)))
+        number = F.coalesce(t["near"]["v"], _last(t["numbers"])["v"])
+        return F.struct(F.when(none, anywhere).otherwise(F.coalesce(t["near"]["d"], last)).alias("direction"), F.when(~none, _number(number)).alias("value"))
+
+    def nearest(t: Column) -> Column:
+        return _let(F.struct(t["upper"], t["labels"], t["numbers"], _nearest(t).alias("near")), result)
+
+    def split(t: Column) -> Column:
+        sides = lambda m: F.struct(t["upper"].alias("upper"), F.filter(m, is_label).alias("labels"), F.filter(m, lambda v: ~is_label(v)).alias("numbers"))
+        return _let(_let(_places(t), sides), nearest)
+
+    def tokens(t: Column) -> Column:
+        return _let(F.struct(t["upper"].alias("upper"), F.regexp_extract_all(t["line"], F.lit(_TOKEN), F.lit(1)).alias("found"), F.split(t["line"], _TOKEN, -1).alias("gaps")), split)
+
+    return _let(_body(x), lambda b: _let(F.struct(F.upper(b).alias("upper"), F.upper(_last_line(b)).alias("line")), tokens))
 
 
 def format_early(x: Column | str) -> Column:
     """struct(direction, value) from the start of the first line, else from the first label anywhere."""
-    body = _body(x)
-    line = _first_line(body)
-    start = F.upper(F.regexp_extract(line, rf"(?i)^{_LABEL}", 1))
-    direct = F.regexp_extract(line, rf"(?i)^{_LABEL}\s+({_NUMBER})", 2)
-    behind = F.try_element_at(F.regexp_extract_all(F.regexp_replace(line, rf"(?i)^{_LABEL}", ""), F.lit(rf"({_NUMBER})"), F.lit(1)), F.lit(1))
-    upper = F.upper(body)
-    other = F.regexp_extract(upper, _LABEL, 1)
-    at = F.least(*[F.when(F.locate(w, upper) > 0, F.locate(w, upper)) for w in ("FASTER", "SLOWER")])
-    tail = F.substring(body, at + F.lit(6), F.lit(20))
-    after = F.try_element_at(F.regexp_extract_all(tail, F.lit(rf"({_NUMBER})"), F.lit(1)), F.lit(1))
-    label = F.when(start != "", start).when(other != "", other)
-    value = F.when(start != "", F.coalesce(F.nullif(direct, F.lit("")), behind)).when(other != "", after)
-    return F.struct(label.alias("direction"), _number(value).alias("value"))
+    first = lambda s: F.try_element_at(F.regexp_extract_all(s, F.lit(rf"({_NUMBER})"), F.lit(1)), F.lit(1))
+
+    def result(t: Column) -> Column:
+        start = F.upper(F.regexp_extract(t["line"], rf"(?i)^{_LABEL}", 1))
+        direct = F.regexp_extract(t["line"], rf"(?i)^{_LABEL}\s+({_NUMBER})", 2)
+        behind = first(F.regexp_replace(t["line"], rf"(?i)^{_LABEL}", ""))
+        other = F.regexp_extract(t["upper"], _LABEL, 1)
+        at = F.least(*[F.when(F.locate(w, t["upper"]) > 0, F.locate(w, t["upper"])) for w in ("FASTER", "SLOWER")])
+        after = first(F.substring(t["body"], at + F.lit(6), F.lit(20)))
+        value = F.when(start != "", F.coalesce(F.nullif(direct, F.lit("")), behind)).when(other != "", after)
+        return F.struct(F.when(start != "", start).when(other != "", other).alias("direction"), _number(value).alias("value"))
+
+    return _let(_body(x), lambda b: _let(F.struct(b.alias("body"), F.upper(b).alias("upper"), _first_line(b).alias("line")), result))
 
 
 def _pick(text: Column, late: bool) -> Column:
