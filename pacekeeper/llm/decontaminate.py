@@ -271,17 +271,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_hits: int = 0, most_sh
     """
     names = docs.columns
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    found = scratch.keep(contamination(docs, items, key, text, window=window).filter(F.col("n_hit") > most_hits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans", (F.col("n_hit") > most_share * F.col("n_words")).alias("_gone")).dropDuplicates(["_id", "_hash"]), "found")
-    told = docs.withColumn("_text_hash", F.xxhash64(text))
-    joined = told.join(found, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left")
+    found = scratch.keep(contamination(docs, items, key, text, window=window).filter(F.col("n_hit") > most_hits).select(F.col("doc_id").alias("__pk_id"), F.col("text_hash").alias("__pk_hash"), F.col("spans").alias("__pk_spans"), (F.col("n_hit") > most_share * F.col("n_words")).alias("__pk_gone")).dropDuplicates(["__pk_id", "__pk_hash"]), "found")
+    told = docs.withColumn("__pk_text_hash", F.xxhash64(text))
+    joined = told.join(found, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (F.col("__pk_text_hash") == F.col("__pk_hash")), "left")
 
     @F.udf("string", useArrow=True)
     def cut(body: str | None, spans: list | None) -> str | None:
         return body if not spans or body is None else strip_spans(body.encode(), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
 
-    left = joined.filter(~F.coalesce("_gone", F.lit(False)))
-    hit = F.col("spans").isNotNull()
-    out = left.withColumn(text, F.when(hit, cut(F.col(text), F.col("spans"))).otherwise(F.col(text)))
+    left = joined.filter(~F.coalesce("__pk_gone", F.lit(False)))
+    hit = F.col("__pk_spans").isNotNull()
+    out = left.withColumn(text, F.when(hit, cut(F.col(text), F.col("__pk_spans"))).otherwise(F.col(text)))
     if length is not None:
         out = out.withColumn(length, F.when(hit, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
     return out.select(*names)

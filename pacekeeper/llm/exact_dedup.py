@@ -110,10 +110,10 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
     spark = docs.sparkSession
-    found = Scratch(spark, "exact-kept").keep(exact_dedup(docs, key, text).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("_sha")), "decisions")
-    stay = found.filter("kept").select(F.col("doc_id").alias("_id"), "_sha")
-    told = docs.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    left = told.join(stay, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (told["_sha"] == stay["_sha"]), "left_semi")
+    found = Scratch(spark, "exact-kept").keep(exact_dedup(docs, key, text).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("__pk_sha")), "decisions")
+    stay = found.filter("kept").select(F.col("doc_id").alias("__pk_id"), "__pk_sha")
+    told = docs.withColumn("__pk_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+    left = told.join(stay, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (told["__pk_sha"] == stay["__pk_sha"]), "left_semi")
     if not found.filter("not kept and doc_id <=> keep_id").isEmpty():  # rows repeated with one doc_id
-        left = left.dropDuplicates([key, "_sha"])
-    return left.drop("_sha")
+        left = left.dropDuplicates([key, "__pk_sha"])
+    return left.drop("__pk_sha")

@@ -134,9 +134,9 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every component stays, the one with the least doc_id; all columns stay."""
     found = Scratch(docs.sparkSession, "simhash-kept").keep(simhash_groups(docs, key, text, width, radius), "groups")
-    first = found.filter("doc_id <=> component_id").groupBy("component_root").agg(F.min("doc_id").alias("_id"), F.min("text_hash").alias("_hash"), F.count("*").alias("_n"))
-    told = docs.withColumn("_text_hash", F.xxhash64(text))
-    left = told.join(first, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    if not first.filter("_n > 1").isEmpty():  # rows repeated with one doc_id
-        left = left.dropDuplicates([key, "_text_hash"])
-    return left.drop("_text_hash")
+    first = found.filter("doc_id <=> component_id").groupBy("component_root").agg(F.min("doc_id").alias("__pk_id"), F.min("text_hash").alias("__pk_hash"), F.count("*").alias("__pk_n"))
+    told = docs.withColumn("__pk_text_hash", F.xxhash64(text))
+    left = told.join(first, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (F.col("__pk_text_hash") == F.col("__pk_hash")), "left_semi")
+    if not first.filter("__pk_n > 1").isEmpty():  # rows repeated with one doc_id
+        left = left.dropDuplicates([key, "__pk_text_hash"])
+    return left.drop("__pk_text_hash")

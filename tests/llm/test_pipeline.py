@@ -65,6 +65,15 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
         assert empty.count() == 0
 
 
+def test_stages_take_clashing_columns(spark):
+    names = ["_id", "_sha", "_hash", "_text_hash", "spans", "fp", "root", "row", "recipe", "kept", "component_id", "text_hash", "lang_pred", "_n", "_gone"]
+    docs = spark.createDataFrame([(1, "a b c", "en", "s", 5), (2, "a b c", "en", "s", 5), (3, "A b c", "en", "s", 5)], DOC).selectExpr("*", *[f"'{n}' as `{n}`" for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, before = stage(spark, docs, SF), docs
+        assert docs.columns == before.columns, name
+    assert [r.asDict()["_id"] for r in docs.collect()] == ["_id"] and corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 1
+
+
 def test_library_works_without_these_operators(tmp_path):
     for name in ("pacekeeper", "__spark_entry__.py"):
         src = os.path.join(ROOT, name)
