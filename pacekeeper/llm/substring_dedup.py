@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from pacekeeper.llm.base import Scratch, arrow_map, utf8
 
 LENGTH, GRAM, LONGEST_PIECE, MOST, INDEX_BYTES = 400, 16, 1024, 1000, 1 << 19
+_PACK = 7
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -82,23 +83,28 @@ class RunIndex:
 
     def __init__(self, bodies: list[bytes]) -> None:
         n = sum(map(len, bodies)) + len(bodies)
-        self.text = np.empty(n, np.int32)
-        at = 0
-        for i, b in enumerate(bodies):  # an end mark of its own for each body: no match crosses it
-            self.text[at : at + len(b)] = np.frombuffer(b, np.uint8).astype(np.int32) + len(bodies)
-            self.text[at + len(b)] = i
-            at += len(b) + 1
-        sa = self._suffixes()
+        self.marks = np.cumsum([len(b) + 1 for b in bodies]) - 1  # an end mark of its own for each body: no match crosses it
+        self.text = np.frombuffer(b"\0".join([*bodies, b""]), np.uint8).astype(np.int64) + 1
+        self.text[self.marks] = 0
+        left = self.marks[np.searchsorted(self.marks, np.arange(n))] - np.arange(n)
+        #: Seven bytes in one number, with nothing after an end mark.
+        self.first = np.zeros(n, np.int64)
+        for k in range(_PACK):
+            self.first <<= 9
+            self.first[: n - k] += np.where(left[: n - k] > k, self.text[k:], 0)
+        sa = self._suffixes(left < _PACK)
+        self.text[self.marks] = -np.arange(len(bodies))
         bwt = self.text[sa - 1]
         head = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         tail = np.append(head[1:], n) - 1
         self.symbols = bwt[head]
         self.heads, self.tails = sa[head], sa[tail]
 
-    def _suffixes(self) -> np.ndarray:
+    def _suffixes(self, short: np.ndarray) -> np.ndarray:
+        """Suffix array by prefix doubling from seven bytes on; ``short`` suffixes hold an end mark among them and so are unique."""
         n = len(self.text)
-        order = np.argsort(self.text, kind="stable")
-        rank, h = self._ranks(self.text[order], order), 1
+        order = np.argsort(self.first, kind="stable")
+        rank, h = self._ranks(self.first[order], order, short), _PACK
         while rank.max() < n - 1:
             second = np.zeros(n, np.int64)
             second[:-h] = rank[h:] + 1
@@ -109,46 +115,49 @@ class RunIndex:
         return order
 
     @staticmethod
-    def _ranks(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    def _ranks(values: np.ndarray, order: np.ndarray, unique: np.ndarray | None = None) -> np.ndarray:
+        new = np.concatenate([[False], values[1:] != values[:-1]])
+        if unique is not None:
+            new[1:] |= unique[order[1:]] | unique[order[:-1]]
         rank = np.empty(len(order), np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], values[1:] != values[:-1]]))
+        rank[order] = np.cumsum(new)
         return rank
 
-    def _common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Lengths, up to ``most``, of the common prefixes of suffixes a and b."""
-        n, got, span = len(self.text), np.zeros(len(a), np.int64), np.arange(32)
-        for lo in range(0, len(a), 16384):
-            live = np.arange(lo, min(lo + 16384, len(a)))
+    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of suffixes a and b."""
+        n, got, span = len(self.text), np.zeros(len(a), np.int64), np.arange(64)
+        for lo in range(0, len(a), 8192):
+            live = np.arange(lo, min(lo + 8192, len(a)))
             while len(live):
                 i, j = (a[live] + got[live])[:, None] + span, (b[live] + got[live])[:, None] + span
                 same = (self.text[np.minimum(i, n - 1)] == self.text[np.minimum(j, n - 1)]) & (np.maximum(i, j) < n)
-                run = np.where(same.all(axis=1), 32, same.argmin(axis=1))
+                run = np.where(same.all(axis=1), 64, same.argmin(axis=1))
                 got[live] += run
-                live = live[(run == 32) & (got[live] < most)]
-        return np.minimum(got, most)
+                live = live[run == 64]
+        return got
 
-    def matching(self, most: int) -> np.ndarray:
-        """For each position, whether its longest match with another suffix reaches ``most``.
+    def matching(self, least: int) -> np.ndarray:
+        """For each position, whether its longest match with another suffix reaches ``least``.
 
         The neighbour above (below) in suffix order of a position that is no run head (tail) is
-        the successor of the neighbour of the position before, with one byte less in common.
+        the successor of the neighbour of the position before, with one byte less in common. So
+        samples whose match is below ``least`` stand for none.
         """
         n = len(self.text)
-        far = 4 * LONGEST_PIECE
-        best = np.zeros(n, np.int64)
-        for own, other in ((self.heads[1:], self.tails[:-1]), (self.tails[:-1], self.heads[1:])):
-            if not len(own):
-                continue
-            common = self._common(own, other, far)
-            order = np.argsort(own)
-            own, common = own[order], common[order]
-            reach = np.full(n, -1, np.int64)
-            reach[own] = own + common  # end of the match that starts at the sample
-            at = np.zeros(n, np.int64)
-            at[own] = own
-            last = np.maximum.accumulate(at)
-            best = np.maximum(best, np.where(reach[last] >= 0, reach[last] - np.arange(n), 0))
-        return best >= most
+        a, b = self.heads[1:], self.tails[:-1]
+        near = np.arange(len(a))
+        for at in range(0, max(1, least - _PACK + 1), _PACK * 8):  # most pairs differ early
+            near = near[(np.maximum(a[near], b[near]) + at < n)]
+            near = near[self.first[a[near] + at] == self.first[b[near] + at]] if least - at >= _PACK else near
+        common = np.zeros(len(a), np.int64)
+        common[near] = self._common(a[near], b[near])
+        best = np.zeros(n, bool)
+        for own in (a, b):
+            reach, at = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            reach[own], at[own] = own + common, own
+            np.maximum.accumulate(at, out=at)
+            best |= reach[at] - np.arange(n) >= least
+        return best
 
 
 def _flags_to_spans(flags: np.ndarray) -> list[tuple[int, int]]:
