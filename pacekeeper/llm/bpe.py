@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame, functions as F
 from pacekeeper.llm.base import arrow_map
 
 MOST_VOCABULARY_BYTES = 64_000_000
-MOST_CACHED_WORDS = 200_000
+MOST_CACHED_WORDS = 200_000  # of each part of the two tables
 LONGEST_CACHED_WORD = 64
+_BITS = 24  # of an id in a pair
 #: White space of the tokenizer's own regular expressions (unlike str.split, not 0x1C-0x1F).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORDS = re.compile(f"[^{_SPACE}]+")
@@ -44,6 +45,25 @@ def byte_letters() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
+class _Recent:
+    """A bounded table of two parts: a full young one becomes the old one, so what is in use stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(key) <= LONGEST_CACHED_WORD:
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Bpe:
     def __init__(self, source: str) -> None:
         spec = json.loads(source)
@@ -52,64 +72,94 @@ class Bpe:
         self.end: str = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.strings = {i: s for s, i in {**self.vocab, **self.special}.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: By pair of ids (one number): rank of the merge; by rank: the pair and the id that it makes.
+        self.ranks: dict[int, int] = {}
+        self.pairs: list[int] = []
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-        self.letters = byte_letters()
+            key = self.vocab[a] << _BITS | self.vocab[b]
+            self.ranks[key] = rank
+            self.pairs.append(key)
+            self.made.append(self.vocab[a + b])
+        letters = byte_letters()
+        self.inner = [self.vocab.get(c) for c in letters]
+        self.last = [self.vocab.get(c + self.end) for c in letters]
         longest_first = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
-        self._cache: dict[str, tuple[int, str, str]] = {}
+        self._words, self._pieces = _Recent(MOST_CACHED_WORDS), _Recent(MOST_CACHED_WORDS)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        symbols = [self.letters[b] for b in piece.encode()]
-        symbols[-1] += self.end
-        ids = [i for i in map(self.vocab.get, symbols) if i is not None]
+        body = piece.encode()
+        inner = self.inner
+        ids = [inner[b] for b in body]
+        ids[-1] = self.last[body[-1]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
         n = len(ids)
+        if n < 2:
+            return ids
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        merges, heap = self.merges, []
+        rank_of, pairs, push, pop = self.ranks.get, self.pairs, heapq.heappush, heapq.heappop
+        heap = []
         for i in range(n - 1):
-            if m := merges.get((ids[i], ids[i + 1])):
-                heap.append((m[0], i, m[1], ids[i], ids[i + 1]))
+            r = rank_of(ids[i] << _BITS | ids[i + 1])
+            if r is not None:
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            entry = pop(heap)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if ids[i] != left or j < 0 or ids[j] != right:
+            if j < 0 or ids[i] < 0 or ids[i] << _BITS | ids[j] != pairs[r]:
                 continue  # stale: one of the two was merged already
-            ids[i], ids[j] = new, -1
+            new = ids[i] = self.made[r]
+            ids[j] = -1
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(heap, (m[0], i, m[1], new, ids[k]))
+                r = rank_of(new << _BITS | ids[k])
+                if r is not None:
+                    push(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
+            if h >= 0:
+                r = rank_of(ids[h] << _BITS | new)
+                if r is not None:
+                    push(heap, r << 32 | h)
         return [i for i in ids if i >= 0]
 
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        """Count, ids and decoded text of a pre-token."""
+        found = self._pieces.get(piece)
+        if found is None:
+            ids = self.merge(piece)
+            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            self._pieces.put(piece, found)
+        return found
+
     def _word(self, word: str) -> tuple[int, str, str]:
         """Count, ids and decoded text of what stands between two spaces."""
-        found = self._cache.get(word)
+        found = self._words.get(word)
         if found is None:
-            ids = [i for p in _PIECES.findall(word) for i in self.merge(p)]
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            if len(word) <= LONGEST_CACHED_WORD:
-                if len(self._cache) >= MOST_CACHED_WORDS:
-                    self._cache.clear()
-                self._cache[word] = found
+            parts = [self._piece(p) for p in _PIECES.findall(word)]
+            found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts if p[0]]), " ".join([p[2] for p in parts if p[0]]))
+            self._words.put(word, found)
         return found
 
-    def _parts(self, text: str):
-        """(count, ids, decoded) of words and special marks in order."""
-        at = 0
-        for m in self.marks.finditer(text) if self.marks else ():
-            yield from map(self._word, self._split(text[at : m.start()]))
-            i = self.special[m[0]]
-            yield 1, str(i), m[0]
-            at = m.end()
-        yield from map(self._word, self._split(text[at:] if at else text))
+    def _parts(self, text: str) -> list[tuple[int, str, str]]:
+        """(count, ids, decoded) of words and special marks in order, without those of no tokens."""
+        if not any(m in text for m in self.special):
+            young, word = self._words.young.get, self._word
+            parts = [young(w) or word(w) for w in self._split(text)]
+        else:
+            parts, at = [], 0
+            for m in self.marks.finditer(text):
+                parts += map(self._word, self._split(text[at : m.start()]))
+                parts.append((1, str(self.special[m[0]]), m[0]))
+                at = m.end()
+            parts += map(self._word, self._split(text[at:]))
+        return [p for p in parts if p[0]]
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -117,14 +167,14 @@ class Bpe:
         return _WORDS.findall(flat.lower())
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for n, ids, _ in self._parts(text) if n for i in ids.split(" ")]
+        return [int(i) for _, ids, _ in self._parts(text) for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text."""
-        parts = [p for p in self._parts(text) if p[0]]
+        parts = self._parts(text)
         sha = lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
         return sum(p[0] for p in parts), sha(1), sha(2)
 
