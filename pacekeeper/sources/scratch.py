@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,7 +14,9 @@ def shared_dir(spark: SparkSession) -> str:
     key = "spark.checkpoint.dir"
     found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pacekeeper-")
+        own = tempfile.mkdtemp(prefix="pacekeeper-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set(key, found)
     return found.rstrip("/")
 
