@@ -133,7 +133,12 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every component stays, the one with the least doc_id; all columns stay."""
-    found = Scratch(docs.sparkSession, "simhash-kept").keep(simhash_groups(docs, key, text, width, radius), "groups")
+    return keep_first(docs, simhash_groups(docs, key, text, width, radius), key, text)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, key: str, text: str) -> DataFrame:
+    """Of ``docs`` the row with the least doc_id of every component of ``groups``."""
+    found = Scratch(docs.sparkSession, "simhash-kept").keep(groups, "groups")
     first = found.filter("doc_id <=> component_id").groupBy("component_root").agg(F.min("doc_id").alias("__pk_id"), F.min("text_hash").alias("__pk_hash"), F.count("*").alias("__pk_n"))
     told = docs.withColumn("__pk_text_hash", F.xxhash64(text))
     left = told.join(first, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (F.col("__pk_text_hash") == F.col("__pk_hash")), "left_semi")
