@@ -223,6 +223,18 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     return _map(plain, vocabulary, ["doc_id", "text"], "doc_id long, n_tokens long, ids array<int>", fn)
 
 
+def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded_sha256 (of the text decoded from the ids) for every row."""
+
+    def fn(bpe: Bpe, batch: pa.RecordBatch) -> dict:
+        ids = [bpe.encode(t or "") for t in batch.column(1).to_pylist()]
+        sha = [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]
+        return {"doc_id": batch.column(0), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded_sha256": pa.array(sha, pa.string())}
+
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return _map(plain, vocabulary, ["doc_id", "text"], "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string", fn)
+
+
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """doc_id and decoded text for every row of ids; null ids give the empty text."""
 
