@@ -7,6 +7,7 @@ All are built-in Catalyst expressions except ``edit_similarity``, for which ther
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -142,9 +143,22 @@ def rename_main_class(x: Text, name: str = "Solution") -> Column:
     return F.when((old == "") | (old == name), c).otherwise(F.regexp_replace(c, pattern, F.lit(f"class {name}")))
 
 
+def _one_place(x: Column) -> Column:
+    """A double of 0 or more to one place by its exact binary value, halves to even, as C and Python round (Java does not)."""
+    whole = F.floor(x)
+    part = x - whole  # exact
+    up = F.lit(0)
+    for i in range(10):
+        half = (2 * i + 1) / 20
+        off = Fraction(half) - Fraction(2 * i + 1, 20)
+        over = off > 0 or off == 0 and i % 2 == 1
+        up = up + (part >= half if over else part > half).cast("int")
+    return F.concat((whole + F.when(up == 10, 1).otherwise(0)).cast("string"), F.lit("."), (up % 10).cast("string"))
+
+
 def human_count(n: Text) -> Column:
     c = _col(n)
-    return F.when(c >= 1_000_000, F.format_string("%.1fM", c / 1_000_000)).when(c >= 1_000, F.format_string("%.1fK", c / 1_000)).otherwise(c.cast("string"))
+    return F.when(c >= 1_000_000, F.concat(_one_place(c / 1_000_000), F.lit("M"))).when(c >= 1_000, F.concat(_one_place(c / 1_000), F.lit("K"))).otherwise(c.cast("string"))
 
 
 #: Names under which a language is known.

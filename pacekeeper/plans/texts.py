@@ -119,11 +119,17 @@ def code_repairs(spark, sf_dir):
 @query("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000) WHEN n >= 1000 THEN printf('%.1fK', n / 1000) ELSE n::VARCHAR END AS shown
   FROM (SELECT o_orderkey, o_orderkey * 977 % 3000017 AS n FROM orders) WHERE n % 50 > 0""")
 def human_counts(spark, sf_dir):
-    """Without numbers half-way between two shown ones, which Java and C round differently."""
+    """As its SQL, without multiples of 50; ``human_counts_all`` has every order."""
     n = F.col("o_orderkey") * 977 % 3000017
     return table(spark, sf_dir, "orders").filter(n % 50 > 0).select("o_orderkey", T.human_count(n).alias("shown"))
 
 
+@query()
+def human_counts_all(spark, sf_dir):
+    n = F.col("o_orderkey") * 977 % 3000017
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.human_count(n).alias("shown"))
+
+
 @query("""WITH n AS (SELECT DISTINCT source, lang FROM documents), m AS (SELECT source, lang, CASE WHEN lang = 'en' THEN '' ELSE '__' || source || '/x:' || lang || ' v2.1.' END AS model FROM n)
   SELECT source, lang, CASE WHEN model = '' THEN '' ELSE source || '_x_' || lang || '_v2.1' END AS safe, 'in_results_zero-shot' || CASE WHEN model = '' THEN '' ELSE '_' || source || '_x_' || lang || '_v2.1' END || '.json' AS file,
     CASE lang WHEN 'fr' THEN 'C++' WHEN 'de' THEN 'Python' ELSE upper(lang) END AS shown FROM m""")
