@@ -8,9 +8,12 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: A key is heavy if over one in HEAVY of all rows have it, so there are fewer than HEAVY of them.
+HEAVY = 1000
+_SIEVE_BITS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,32 @@ def _sweep() -> None:
             pass
 
 
+def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
+    """Inner join in which no heavy key comes to one task.
+
+    ``right`` has one row for a key; ``heavy`` has the heavy keys of ``left``, fewer than ``HEAVY``.
+    Rows of ``right`` with those are broadcast, the others are shuffled.
+    """
+    names = F.broadcast(heavy.select(*keys))
+    some = left.join(F.broadcast(right.join(names, keys, "left_semi")), keys)
+    return some.unionByName(left.join(names, keys, "left_anti").join(right.join(names, keys, "left_anti"), keys))
+
+
+def sieve(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose 64-bit hash ``column`` may be among ``keys``, and rows whose is not.
+
+    The table of 2^24 bits (at most 2^18 rows of 64 bits) has one size whatever the data; it lets some
+    rows through in vain and none out.
+    """
+    spot = F.col(column).bitwiseAND(F.lit((1 << _SIEVE_BITS) - 1))
+    bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
+    words = keys.select(F.shiftright(spot, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    words = F.broadcast(Scratch(df.sparkSession, "sieve").keep(words, "words"))
+    told = df.withColumn("_word", F.shiftright(spot, 6)).join(words, "_word", "left").drop("_word")
+    hit = F.coalesce(F.col("_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
+    return told.filter(hit).drop("_bits"), told.filter(~hit).drop("_bits")
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, max_rows: int = 2048) -> DataFrame:
     """mapInArrow over slices of at most ``max_rows`` rows; ``fn`` yields dicts of columns in the order of ``schema``."""
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from pacekeeper.llm.base import Scratch, arrow_map, utf8
+from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy, sieve, utf8
 
 LENGTH, GRAM, LONGEST_PIECE, MOST, INDEX_BYTES = 400, 16, 1024, 1000, 1 << 19
 _PACK = 7
@@ -241,12 +241,10 @@ def _halves(length: int, level: int) -> Callable[[pa.RecordBatch], Iterator[dict
     return run
 
 
-def _solve(rows: DataFrame, scratch: Scratch, length: int, most: int, level: int = 1) -> DataFrame:
-    """key, c1, c2, spans for written rows (key, c1, c2, n, body, least, again), distinct in (key, c1, c2)."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("_size"))
+def _solve(joined: DataFrame, scratch: Scratch, length: int, most: int, level: int = 1) -> DataFrame:
+    """key, c1, c2, spans for written rows (key, c1, c2, n, body, least, again, _size), distinct in (key, c1, c2); ``_size`` counts the rows of the key."""
     # At one window a row has no equal but itself: nothing is left to compare.
     alone = F.expr("_size = 1 and not again") if (1 << level - 1) <= length else F.lit(True)
-    joined = scratch.keep(rows.join(sizes, "key"), f"sized{level}")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.length("body") - length + 1).cast("int").alias("b")))
     done = joined.filter(alone & (F.col("n") > 1)).select("key", "c1", "c2", whole.alias("spans"))
     several = joined.filter(~alone & (F.col("_size") <= most))
@@ -258,7 +256,10 @@ def _solve(rows: DataFrame, scratch: Scratch, length: int, most: int, level: int
     parts = scratch.keep(arrow_map(large.select("key", "c1", "c2", "n", "body", "least"), _halves(length, level), cut, 256), f"halves{level}")
     # Equal pieces of one parent piece stand at different places, so each counts.
     again = parts.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.first("body").alias("body"), F.first("least").alias("least"), F.lit(False).alias("again"))
-    solved = scratch.keep(_solve(scratch.keep(again, f"again{level}"), scratch, length, most, level + 1), f"solved{level}")
+    again = scratch.keep(again, f"again{level}")
+    sizes = scratch.keep(again.groupBy("key").agg(F.count("*").alias("_size")), f"sizes{level}")
+    sized = scratch.keep(join_heavy(again, sizes, ["key"], sizes.filter(F.col("_size") * HEAVY > again.count())), f"sized{level}")
+    solved = scratch.keep(_solve(sized, scratch, length, most, level + 1), f"solved{level}")
     back = parts.select("key", "c1", "c2", "p0", "p1", "p2", "at").join(solved, ["key", "c1", "c2"])
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
     lifted = back.select(F.col("p0").alias("key"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), moved.alias("spans"))
@@ -266,7 +267,7 @@ def _solve(rows: DataFrame, scratch: Scratch, length: int, most: int, level: int
 
 
 def marked_windows(docs: DataFrame, length: int = LENGTH, most: int = MOST, text: str = "text") -> DataFrame:
-    """t1, t2 (name of a text) and spans (ranges of windows that also start elsewhere)."""
+    """t1, t2 (name of a text), copies (rows with it) and spans (ranges of windows that also start elsewhere)."""
     scratch = Scratch(docs.sparkSession, "substrings")
     long_enough = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") >= length)
     named = long_enough.select("text", *text_names("text"))
@@ -287,31 +288,35 @@ def marked_windows(docs: DataFrame, length: int = LENGTH, most: int = MOST, text
     found = arrow_map(named, scan, "key long, c1 long, c2 long, t1 long, t2 long, at int, count int, again boolean", 256)
     # Copies of a text collapse before they are written: one row for each text and piece.
     members = scratch.keep(found.groupBy("key", "c1", "c2", "t1", "t2", "at", "count", "again").agg(F.count("*").alias("n")), "members")
-    distinct = members.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.min("count").alias("count"), F.max("again").alias("again"), F.min(F.struct("t1", "t2", "at")).alias("rep"))
+    distinct = members.groupBy("key", "c1", "c2").agg(F.sum("n").alias("n"), F.min("count").alias("count"), F.max("again").alias("again"), F.count("*").alias("texts"), F.min(F.struct("t1", "t2", "at")).alias("rep"))
     distinct = scratch.keep(distinct, "distinct")
-    shared = distinct.groupBy("key").agg(F.count("*").alias("pieces")).filter("pieces > 1").select("key")
-    shared = scratch.keep(shared.unionByName(distinct.filter("again").select("key")).distinct(), "shared")
-    mixed = distinct.join(shared, "key", "left_semi").select("key", "c1", "c2", "n", "count", "again", "rep.*")
-    wanted = scratch.keep(mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "c1", "c2", "n", "at", "count", "again")).alias("wanted")), "wanted")
-    bodies = named.groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"])
+    # A key with one piece, once in it, needs no index: that piece is carried along.
+    one = F.min(F.struct("c1", "c2", "n", "count"))
+    sizes = scratch.keep(distinct.groupBy("key").agg(F.count("*").alias("_size"), F.max("again").alias("any_again"), one.alias("one")), "sizes")
+    plain = F.expr("_size = 1 and not any_again")
+    many = sizes.filter(~plain).select("key", "_size")
+    mixed = join_heavy(distinct, many, ["key"], many.filter(F.col("_size") * HEAVY > distinct.count())).select("key", "c1", "c2", "n", "count", "again", "_size", "rep.*")
+    wanted = scratch.keep(mixed.groupBy("t1", "t2").agg(F.collect_list(F.struct("key", "c1", "c2", "n", "at", "count", "again", "_size")).alias("wanted")), "wanted")
+    bodies = sieve(named, wanted, "t1")[0].groupBy("t1", "t2").agg(F.first("text").alias("text")).join(wanted, ["t1", "t2"])
 
     def cut(batch: pa.RecordBatch):
-        out: dict[str, list] = {k: [] for k in ("key", "c1", "c2", "n", "body", "least", "again")}
+        out: dict[str, list] = {k: [] for k in ("key", "c1", "c2", "n", "body", "least", "again", "_size")}
         kinds = {"body": pa.binary(), "again": pa.bool_()}
         for t, pieces_of in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
             for w in pieces_of:
                 body = t[w["at"] : w["at"] + w["count"] - 1 + length]
-                for k, v in zip(out, (w["key"], w["c1"], w["c2"], w["n"], body, w["key"], w["again"])):
+                for k, v in zip(out, (w["key"], w["c1"], w["c2"], w["n"], body, w["key"], w["again"], w["_size"])):
                     out[k].append(v)
         yield {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
 
-    rows = scratch.keep(arrow_map(bodies.select("text", "wanted"), cut, "key long, c1 long, c2 long, n long, body binary, least long, again boolean", 128), "mixed")
+    rows = scratch.keep(arrow_map(bodies.select("text", "wanted"), cut, "key long, c1 long, c2 long, n long, body binary, least long, again boolean, _size long", 128), "mixed")
     solved = _solve(rows, scratch, length, most)
-    whole = distinct.join(shared, "key", "left_anti").filter("n > 1").select("key", "c1", "c2", F.array(F.struct(F.lit(0).alias("a"), F.col("count").alias("b"))).alias("spans"))
+    whole = sizes.filter(plain & (F.col("one.n") > 1)).select("key", "one.c1", "one.c2", F.array(F.struct(F.lit(0).alias("a"), F.col("one.count").alias("b"))).alias("spans"))
     marks = scratch.keep(solved.filter(F.size("spans") > 0).unionByName(whole), "marks")
+    heavy = distinct.filter(F.col("texts") * HEAVY > members.count())
     moved = F.transform("spans", lambda s: F.struct((s["a"] + F.col("at")).alias("a"), (s["b"] + F.col("at")).alias("b")))
-    hit = members.select("key", "c1", "c2", "t1", "t2", "at").join(marks, ["key", "c1", "c2"]).select("t1", "t2", moved.alias("spans"))
-    return scratch.keep(hit.groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans")), "hit")
+    hit = join_heavy(members.select("key", "c1", "c2", "t1", "t2", "at", "n"), marks, ["key", "c1", "c2"], heavy).select("t1", "t2", "n", moved.alias("spans"))
+    return scratch.keep(hit.groupBy("t1", "t2").agg(F.max("n").alias("copies"), F.flatten(F.collect_list("spans")).alias("spans")), "hit")
 
 
 def text_names(text: str) -> list:
@@ -322,8 +327,14 @@ def text_names(text: str) -> list:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes) for every row."""
     hit = marked_windows(docs, length, most, text)
-    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    joined = plain.select("*", *text_names("text")).join(hit, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *text_names("text"))
+    # Only texts with a mark move; of those with very many copies all windows are marked, so a name is enough.
+    some, rest = sieve(plain, hit, "t1")
+    heavy = F.broadcast(hit.filter((F.col("copies") > 1) & (F.col("copies") * HEAVY > docs.count())).select("t1", "t2"))
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.octet_length("text") - length + 1).cast("int").alias("b")))
+    many = some.join(heavy, ["t1", "t2"], "left_semi").select("doc_id", "text", whole.alias("spans"))
+    some = some.join(heavy, ["t1", "t2"], "left_anti").join(hit, ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    joined = rest.select("doc_id", "text", F.lit(None).cast(_SPAN_SCHEMA).alias("spans")).unionByName(many).unionByName(some)
 
     def finish(batch: pa.RecordBatch):
         rows = []
