@@ -77,11 +77,12 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
 ),
 runs AS (
-  SELECT r, o, p, l[p] || chr(10) || l[p + 1] || chr(10) || l[p + 2] AS g
-  FROM (SELECT r, o, l, unnest(range(1, (len(l) - 1)::BIGINT)) AS p FROM d WHERE len(l) >= 3)
+  SELECT r, o, p, h, array_to_string(l[p : p + h - 1], chr(10)) AS g
+  FROM (SELECT r, o, l, h, unnest(range(1, (len(l) - h + 2)::BIGINT)) AS p FROM d, range(1, 4) AS s(h) WHERE len(l) >= h)
 ),
-later AS (SELECT r, p FROM (SELECT r, o, p, min({'o': o, 'p': p}) OVER (PARTITION BY g) AS first FROM runs) WHERE {'o': o, 'p': p} > first),
-gone AS (SELECT DISTINCT r, unnest([p, p + 1, p + 2]) AS q FROM later),
+repeated AS (SELECT * FROM runs WHERE h = 3 OR len(regexp_extract_all(g, '[^\x20\x09-\x0D]+')) >= 50),
+later AS (SELECT r, p, h FROM (SELECT r, o, p, h, min({'o': o, 'p': p}) OVER (PARTITION BY h, g) AS first FROM repeated) WHERE {'o': o, 'p': p} > first),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + h)) AS q FROM later),
 counted AS (
   SELECT r, count(*) AS n_removed, count(*) FILTER (NOT joined) AS n_runs, list(q) AS qs
   FROM (SELECT r, q, coalesce(lag(q) OVER (PARTITION BY r ORDER BY q) = q - 1, false) AS joined FROM gone) GROUP BY r

@@ -10,33 +10,41 @@ from collections import Counter
 import pytest
 
 from pacekeeper.llm import line_dedup, secrets, substring_dedup
+from pacekeeper.llm.base import Scratch
 from tests.llm.test_core import ODD, frame
 
 
 # -- lines ------------------------------------------------------------------
 
 
-def slow_lines(texts, ids, least):
+def slow_lines(texts, ids, least, least_words=50):
+    """Every run with enough lines or words, of any length, whose copy stands earlier."""
     lines = [(t or "").split("\n") for t in texts]
     first = {}
     for d, ls in sorted(zip(ids, lines), key=lambda x: x[0]):
-        for p in range(len(ls) - least + 1):
-            first.setdefault(tuple(ls[p : p + least]), (d, p))
+        for p in range(len(ls)):
+            for q in range(p + 1, len(ls) + 1):
+                run = tuple(ls[p:q])
+                first[run] = min(first.get(run, (d, p)), (d, p))
     out = []
     for d, ls in zip(ids, lines):
         gone = set()
-        for p in range(len(ls) - least + 1):
-            if first[tuple(ls[p : p + least])] < (d, p):
-                gone.update(range(p, p + least))
+        for p in range(len(ls)):
+            for q in range(p + 1, len(ls) + 1):
+                enough = q - p >= least or len("\n".join(ls[p:q]).encode().split()) >= least_words
+                if enough and first[tuple(ls[p:q])] < (d, p):
+                    gone.update(range(p, q))
         out.append("\n".join(x for i, x in enumerate(ls) if i not in gone))
     return out
 
 
-@pytest.mark.parametrize("least", [1, 2, 3, 5])
+@pytest.mark.parametrize("least", [1, 2, 3, 5, 6])
 def test_later_copies_of_line_runs_go(spark, least):
     rng = random.Random(least)
-    texts = ["\n".join(rng.choices(["a", "b", "c", ""], k=rng.randrange(12))) for _ in range(60)] + ODD
-    df = frame(spark, texts).selectExpr("*", "1 as line", "2 as starts")
+    long = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (20, 25, 30, 49, 50, 60)]
+    texts = ["\n".join(rng.choices(["a", "b", "c", "", *long], k=rng.randrange(12))) for _ in range(60)] + ODD
+    texts += ["\n".join(map(str, range(40)))] * 2 + ["\n".join(map(str, range(3, 37))), long[4], long[4], long[3], long[3]]
+    df = frame(spark, texts).selectExpr("*", "1 as line", "2 as starts", "3 as t0", "4 as first")
     got = {r.doc_id: r for r in line_dedup.line_dedup(df, least).collect()}
     want = slow_lines(texts, range(len(texts)), least)
     for i, w in enumerate(want):
@@ -44,6 +52,33 @@ def test_later_copies_of_line_runs_go(spark, least):
         assert got[i].n_lines == len((texts[i] or "").split("\n")) and got[i].n_removed == got[i].n_lines - (len(w.split("\n")) if w or got[i].n_removed < got[i].n_lines else 0)
 
 
+def test_line_ranks_are_the_suffix_array(spark):
+    """Suffixes that share h lines have one rank, others keep the order of ranks; the rounds end when all are told apart."""
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choices("abc", k=rng.randrange(1, 30))) for _ in range(40)] + ["\n".join("a" * 70), "\n".join("a" * 50)]
+    docs = frame(spark, texts)
+    scratch = Scratch(spark, "test")
+    lines = scratch.keep(line_dedup._lines(line_dedup._named(docs, "doc_id", "text")), "lines")
+    levels = {h: {(r.doc, r.line): (r["rank"], r.later) for r in level.collect()} for h, level in line_dedup.suffix_intervals(lines, scratch, 3, 50)}
+    assert max(levels) == 64 and 3 in levels
+    seqs = {d: t.split("\n") for d, t in enumerate(texts)}
+    kept = {d: s for d, s in seqs.items() if s not in [seqs[e] for e in range(d)]}
+    for h, level in levels.items():
+        runs = {}
+        for d, s in kept.items():
+            for p in range(len(s) - h + 1):
+                runs.setdefault(tuple(s[p : p + h]), []).append((d, p))
+        want = {x: min(places) for places in runs.values() if len(places) > 1 for x in places}
+        assert set(level) == set(want)
+        for x, (_, later) in level.items():
+            assert later == (x != want[x])
+        assert len({r for r, _ in level.values()}) == len({(want[x], level[x][0]) for x in level}) == len(set(want.values()))
+        if h > 1 and h != 3:
+            half = levels[h // 2]
+            ordered = sorted(level, key=lambda x: level[x][0])
+            assert [half[x][0] for x in ordered] == sorted(half[x][0] for x in ordered)
+
+
 def test_line_runs_of_repeated_and_nameless_rows(spark):
     t = "x\ny\nz"
     df = spark.createDataFrame([(4, t), (4, t), (None, t), (9, t + "\nw")], "doc_id long, text string")
@@ -52,6 +87,12 @@ def test_line_runs_of_repeated_and_nameless_rows(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_runs_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(5, "x\ny\nz"), (5, "a\nx\ny\nz\nb"), (7, "y\nz\nb")], "doc_id long, text string")
+    got = sorted(r.kept_text for r in line_dedup.line_dedup(df).collect())
+    assert got == ["", "a\nb", "x\ny\nz"]
+
+
 # -- substrings -------------------------------------------------------------
 
 
