@@ -1,24 +1,27 @@
 """Class-based n-gram language model with exchange clustering.
 
-Counts cover all training rows: words, then pairs of neighbouring words. Words are dealt into
-``classes`` classes by the exchange criterion: a word goes to the class in which the pairs it
-takes part in, seen as pairs of classes, get the highest likelihood. As in distributed exchange
-clustering, all words of one half of the vocabulary choose at once against fixed class counts,
-then the other half; rounds stop when the likelihood no longer grows.
+Counts cover all training rows, and every training word gets one of ``classes`` classes. The
+``most_words`` most frequent words take part in the exchange: in a round the words of one half
+of them look for the class to which their move raises the likelihood of the class pairs most (by
+the exact change, all other words staying where they are); these moves are made together if the
+likelihood of the whole rises, else those of a half or a quarter of the words. Rounds stop when no
+move helps. Every further word (the tail) then goes to the class that raises the likelihood most.
 
 P(word | previous) = P(class | class of previous) P(word | class). Class transitions are
-interpolated with class frequencies by Witten-Bell weights, so that no transition is
-impossible. Words seen once and words outside the ``most_words`` most frequent form one
-further class, in which an unseen word has the share that words seen once had (Good-Turing).
-All unseen words are one event, so probabilities add up to one over the known words and it.
+interpolated with class frequencies by Witten-Bell weights, so that no transition is impossible.
+Words never seen are one event with a class of its own: it follows a class as often as words seen
+once do (Good-Turing), and what follows it is what follows them. Probabilities add up to one.
 
-What is held in memory is bounded: at most ``most_words`` words of at most ``longest_word``
-bytes with their classes, and classes x classes counts. Tokens outside that table are
-looked up in the table of all counts by a join.
+What a task holds is bounded by parameters: ``most_words`` words of at most ``longest_word`` bytes
+with their classes, and classes x classes counts. The exchange reads, for each word, the packed ids
+of its neighbours: three bytes for each neighbour, in rows of a bounded size; words of over ``light``
+neighbours lie in many rows and tasks, and their counts by class are added up by a shuffle. The
+classes of the tail are a table that meets the tokens by a join.
 
 Edge cases: a null text is the empty text, which is one end token; without training rows all
 words are unseen and base_score follows its formula with N = V = 0; an empty table gives an
-empty result. Input columns other than key and text are ignored.
+empty result; ties between words go by a hash of the word. Input columns other than key and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pacekeeper.llm.base import Scratch, arrow_map, utf8
+from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy, utf8
 
-CLASSES, MOST_WORDS, LONGEST_WORD, ROUNDS = 48, 1 << 17, 128, 10
+CLASSES, MOST_WORDS, LONGEST_WORD, ROUNDS, LIGHT = 48, 1 << 17, 128, 10, 1 << 17
 END = b"\n"  # no word holds white space
-_PAIRS = 1_000_000
+_CHUNK = 2_000_000
 _BUCKETS = 16  # of the logarithm of a count
+_RANGES = 256  # of a word's hash
+_UNKNOWN, _ONCE = 255, 128  # codes of tokens: no class yet; flag of words seen once
 
 
 def words(text: bytes) -> list[bytes]:
@@ -56,7 +61,7 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
                 for t in utf8(batch.slice(at, 512).column(0)):
                     held.update(words(t))
                     held[END] += 1
-                if len(held) > _PAIRS // 4:
+                if len(held) > _CHUNK // 8:
                     yield flush()
         if held:
             yield flush()
@@ -65,243 +70,495 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _kept_words(counts: DataFrame, most_words: int, longest_word: int) -> list[tuple[bytes, int]]:
-    """The most frequent words seen twice or more: at most ``most_words``, chosen by a histogram of counts and not by a sort."""
-    fit = counts.filter((F.col("n") > 1) & (F.octet_length("word") <= longest_word)).withColumn("bucket", F.floor(F.log2("n") * _BUCKETS))
-    least, total = None, 0
+    """The end token and the most frequent words, ``most_words`` in all, most frequent first; chosen by histograms and not by a sort.
+
+    Among words of the count at the edge ranges of a hash decide, so up to one range of places stays free.
+    """
+    ends = [(END, r["n"]) for r in counts.filter(F.col("word") == F.lit(END)).collect()]
+    fit = counts.filter((F.octet_length("word") <= longest_word) & (F.col("word") != F.lit(END))).withColumn("bucket", F.floor(F.log2("n") * _BUCKETS)).withColumn("range", F.pmod(F.xxhash64("word"), F.lit(_RANGES)))
+    take, total = None, len(ends)
     for bucket, size in sorted(fit.groupBy("bucket").agg(F.count("*")).collect(), reverse=True):
         if total + size > most_words:
             break
-        least, total = bucket, total + size
-    if least is None:
-        return []
-    rows = fit.filter(F.col("bucket") >= least).select("word", "n").collect()
-    return sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
+        take, total = bucket, total + size
+    keep = F.lit(False) if take is None else F.col("bucket") >= take
+    edge = fit.filter(F.col("bucket") < (2**62 if take is None else take)).agg(F.max("bucket")).first()[0]
+    if edge is not None and total < most_words:
+        least = None
+        for n, r, size in sorted(fit.filter(F.col("bucket") == edge).groupBy("n", "range").agg(F.count("*")).collect(), reverse=True):
+            if total + size > most_words:
+                break
+            least, total = (n, r), total + size
+        if least is not None:
+            keep = keep | ((F.col("bucket") == edge) & ((F.col("n") > least[0]) | ((F.col("n") == least[0]) & (F.col("range") >= least[1]))))
+    rows = fit.filter(keep).select("word", "n").toArrow()
+    return sorted([*ends, *zip(rows["word"].to_pylist(), rows["n"].to_pylist())], key=lambda x: (-x[1], x[0]))
+
+
+# -- packed neighbours ----------------------------------------------------------
+
+
+def _lists(keys: np.ndarray, others: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many ``others`` each key has, and all others in order of keys."""
+    both = np.sort(keys * np.int64(1 << 24) + others)
+    return np.bincount(keys, minlength=n_ids), both & ((1 << 24) - 1)
+
+
+def _blobs(sizes: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    """Lists of ids as two binary columns: low 16 bits and the bits above."""
+    out = []
+    for plane, width in ((ids.astype(np.uint16), 2), ((ids >> 16).astype(np.uint8), 1)):
+        offsets = np.concatenate([[0], np.cumsum(sizes * width)]).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(plane.tobytes())]))
+    return out
 
 
-def _ids(text: bytes, ids: dict[bytes, int], rest: int) -> list[int]:
-    get = ids.get
-    return [get(w, rest) for w in words(text)]
+def _unpacked(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the lists, and all ids."""
+    planes = []
+    for column, kind in ((low, np.uint16), (high, np.uint8)):
+        at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        planes.append((np.diff(at), np.frombuffer(data.tobytes(), kind)))
+    return planes[1][0], planes[0][1].astype(np.int32) | (planes[1][1].astype(np.int32) << 16)
 
 
-def _pair_counts(docs: DataFrame, text: str, shared, n_ids: int) -> DataFrame:
-    """a, b, n: how often id b follows id a; texts begin and end with the end token."""
+_PACKED = "l0 binary, l1 binary, r0 binary, r1 binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _neighbours(docs: DataFrame, text: str, shared, kept: list[tuple[bytes, int]], scratch: Scratch, light: int) -> DataFrame:
+    """w, half, and the packed ids of all that stands before (l0, l1) and after (r0, r1) the word w; the id after the last kept word stands for the tail.
+
+    Half is 0 or 1 for words that lie in one row, 2 and 3 for those with over ``light`` neighbours, which lie in many.
+    """
+    n_ids = len(kept) + 1
+    n_hot = sum(n > light for _, n in kept)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value
-        end, rest = ids.get(END, n_ids - 1), n_ids - 1
+        end, rest = ids[END] if END in ids else n_ids - 1, n_ids - 1
         held: list[int] = [end]
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             seq = np.array(held, np.int64)
-            pair, n = np.unique(seq[:-1] * n_ids + seq[1:], return_counts=True)
             held[:] = [end]
-            return pa.RecordBatch.from_arrays([pa.array((pair // n_ids).astype(np.int32)), pa.array((pair % n_ids).astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+            before, left = _lists(seq[1:], seq[:-1], n_ids)
+            after, right = _lists(seq[:-1], seq[1:], n_ids)
+            there = np.flatnonzero(before + after)
+            sizes = [x[there] for x in (before, after)]
+            ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
+            for at in range(0, len(there), 8192):
+                part = slice(at, min(at + 8192, len(there)))
+                columns = [_blobs(s[part], x[e[part.start] : e[part.stop]]) for s, e, x in zip(sizes, ends, (left, right))]
+                yield pa.RecordBatch.from_arrays([pa.array(there[part].astype(np.int32)), *columns[0], *columns[1]], names=["w", "l0", "l1", "r0", "r1"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 for t in utf8(batch.slice(at, 256).column(0)):
-                    held += _ids(t, ids, rest)
+                    held += [ids.get(w, rest) for w in words(t)]
                     held.append(end)
-                if len(held) > 4 * _PAIRS:
-                    yield flush()
+                if len(held) > _CHUNK:
+                    yield from flush()
         if len(held) > 1:
-            yield flush()
+            yield from flush()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for neighbouring rows of one word, but for words that lie in many rows anyway."""
+        held: pa.Table | None = None
+
+        def merged(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array(table["w"].to_numpy()[start])]
+            for name in ("l0", "l1", "r0", "r1"):
+                c = table[name].combine_chunks()
+                c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+                at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+                cut = np.append(at[start], at[-1]).astype(np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.tobytes()), c.buffers()[2]]))
+            return pa.RecordBatch.from_arrays(columns, names=["w", "l0", "l1", "r0", "r1"])
 
-    return docs.select(text).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            table = now if held is None else pa.concat_tables([held, now])
+            w = table["w"].to_numpy()
+            many = (w < n_hot) | (w == n_ids - 1)
+            start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | many[1:]]))
+            if many[-1]:
+                yield merged(table, start)
+                held = None
+                continue
+            if len(start) > 1:
+                yield merged(table.slice(0, start[-1]), start[:-1])
+            held = table.slice(start[-1])
+        if held is not None:
+            yield merged(held, np.array([0]))
 
+    packed = docs.select(text).mapInArrow(pack, f"w int, {_PACKED}")
+    hot = (F.col("w") < n_hot) | (F.col("w") == n_ids - 1)
+    dealt = packed.withColumn("deal", F.when(hot, -1 - F.pmod(F.xxhash64("l0", "r0"), F.lit(1 << 20))).otherwise(F.col("w"))).repartition("deal").sortWithinPartitions("w")
+    joined = dealt.select("w", "l0", "l1", "r0", "r1").mapInArrow(join, f"w int, {_PACKED}")
+    return scratch.keep(joined.withColumn("half", F.pmod(F.xxhash64("w"), F.lit(2)).cast("int") + F.when(hot, 2).otherwise(0)), "neighbours", "half")
 
-def _class_pairs(pairs: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    shared = pairs.sparkSession.sparkContext.broadcast(classes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k)
-        of = shared.value
-        for b in batches:
-            a, c, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            total += np.bincount(of[a].astype(np.int64) * k + of[c], n, k * k)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+# -- exchange ---------------------------------------------------------------------
 
-    rows = pairs.select("a", "b", "n").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(k * k)
-    for r in rows:
-        out[r["at"]] = r["n"]
-    return out.reshape(k, k)
+
+def _f(x: np.ndarray) -> np.ndarray:
+    x = np.maximum(x, 0.0)
+    return x * np.log(np.maximum(x, 1e-300))
 
 
 def _likelihood(m: np.ndarray) -> float:
-    f = lambda x: float((x[x > 0] * np.log(x[x > 0])).sum())
-    return f(m) - f(m.sum(axis=0)) - f(m.sum(axis=1))
+    return float(_f(m).sum() - _f(m.sum(axis=0)).sum() - _f(m.sum(axis=1)).sum())
 
 
-def _gains(m: np.ndarray) -> np.ndarray:
-    """Mutual information of each pair of classes, smoothed so that no pair is impossible."""
-    p = (m + 0.5) / (m + 0.5).sum()
-    return np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)))
+def move_gains(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, self_pairs: np.ndarray) -> np.ndarray:
+    """Change in likelihood if each word alone moved to each class.
 
+    m: class pair counts. For each word: its class, counts of classes before and after it, and of itself after itself.
+    """
+    n, k = left.shape
+    at = np.arange(n)
+    s = self_pairs[:, None].astype(float)
+    total = np.zeros((n, k))
+    for counts, table in ((right, m), (left, m.T)):
+        rows = table[own]
+        out = _f(rows - counts) - _f(rows)
+        total += out.sum(axis=1, keepdims=True) - out - out[at, own][:, None]
+        word, slot = np.nonzero(counts)
+        gone = slot == own[word]
+        word, slot = word[~gone], slot[~gone]
+        old = table[:, slot].T
+        into = _f(old + counts[word, slot][:, None]) - _f(old)
+        into[np.arange(len(word)), slot] = 0
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
+        if len(word):
+            total[word[first]] += np.add.reduceat(into, first, axis=0)
+        size = counts.sum(axis=1, keepdims=True)
+        sums = table.sum(axis=1)
+        total -= _f(sums[own][:, None] - size) - _f(sums[own][:, None]) + _f(sums[None, :] + size) - _f(sums[None, :])
+    r_own, l_own = right[at, own][:, None], left[at, own][:, None]
+    diag = np.diag(m)
+    total += _f(m[own, own][:, None] - r_own - l_own + s) - _f(m[own, own][:, None])
+    total += _f(m[own] - right + l_own - s) - _f(m[own])
+    total += _f(m.T[own] - left + r_own - s) - _f(m.T[own])
+    total += _f(diag[None, :] + right + left + s) - _f(diag[None, :])
+    total[at, own] = 0
+    return total
+
+
+def _best(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, self_pairs: np.ndarray) -> np.ndarray:
+    """Best class of each word; the last class is none to move to."""
+    out = np.empty(len(own), np.int64)
+    for at in range(0, len(own), 256):
+        part = slice(at, at + 256)
+        gains = move_gains(m, own[part], left[part], right[part], self_pairs[part])[:, :-1]
+        out[part] = gains.argmax(axis=1)
+        stay = (gains.max(axis=1) <= 1e-9) & (own[part] < len(m) - 1)
+        out[part][stay] = own[part][stay]
+    return out
 
-def _choices(views: DataFrame, classes: np.ndarray, m: np.ndarray, half: int) -> np.ndarray:
-    """Classes after each free word of one half has gone to its best class.
 
-    ``views`` is read in the order of words in which it was written. A word at the edge of what a
-    task reads may go on in another task; its class weights (a row of 2 k numbers for each edge)
-    are put together here.
-    """
-    k = len(m)
-    free = k - 1  # the last class is not up for exchange
-    gain = _gains(m)
-    shared = views.sparkSession.sparkContext.broadcast((classes, gain))
+def _by_class(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(row * k + of[ids], minlength=len(sizes) * k).reshape(len(sizes), k).astype(float)
+
+
+def _vectors(batch: pa.RecordBatch, of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of rows (w, l0, l1, r0, r1), counts of classes before and after, and of the word itself after itself; some rows at a time."""
+    size = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1])
+    turn = np.searchsorted(np.cumsum(size), np.arange(0, max(1, size.sum()), 2 * _CHUNK))
+    for a, b in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
+        if b > a:
+            part = batch.slice(a, b - a)
+            w = part.column(0).to_numpy().astype(np.int64)
+            (n_left, left), (n_right, right) = _unpacked(part.column(1), part.column(2)), _unpacked(part.column(3), part.column(4))
+            row = np.repeat(np.arange(len(w)), n_right)
+            yield w, _by_class(left, n_left, of, k), _by_class(right, n_right, of, k), np.bincount(row[right == w[row]], minlength=len(w))
 
-    def best(dense: np.ndarray, gain: np.ndarray) -> np.ndarray:
-        return (dense[:, :k] @ gain + dense[:, k:] @ gain.T)[:, :free].argmax(axis=1)
+
+def _class_pairs(views: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    shared = views.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, gain = shared.value
-        word, slot, weight = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        edges: set[int] = set()
-        before = -1
-
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            w, s, x = (np.concatenate(v) for v in (word, slot, weight))
-            held = w == (-1 if last or not len(w) else w[-1])
-            ids, row = np.unique(w[~held], return_inverse=True)
-            word[:], slot[:], weight[:] = [w[held]], [s[held]], [x[held]]
-            s, x = s[~held], x[~held]
-            for lo in range(0, len(ids), 4096):
-                part = (row >= lo) & (row < lo + 4096)
-                n = min(4096, len(ids) - lo)
-                dense = np.bincount((row[part] - lo) * 2 * k + s[part], x[part], n * 2 * k).reshape(n, 2 * k)
-                vec = [d if int(i) in edges else None for i, d in zip(ids[lo : lo + n], dense)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + n]), pa.array(best(dense, gain)), pa.array(vec, pa.list_(pa.float64()))], names=["w", "c", "vec"])
-
-        for b in batches:
-            w, side, other, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            mine = (w + (w >> 5)) % 2 == half
-            w = w[mine].astype(np.int64)
-            if not len(w):
-                continue
-            turn = np.flatnonzero(np.diff(w, prepend=before) < 0)  # another file
-            edges.update(w[turn].tolist(), w[turn[turn > 0] - 1].tolist(), [before] if len(turn) and turn[0] == 0 else [], [int(w[0])] if before < 0 else [])
-            before = int(w[-1])
-            word.append(w)
-            slot.append(side[mine].astype(np.int64) * k + of[other[mine]])
-            weight.append(n[mine].astype(float))
-            if sum(map(len, word)) > _PAIRS:
-                yield from close(False)
-        edges.add(before)
-        yield from close(True)
-
-    out = classes.copy()
-    parts: dict[int, np.ndarray] = {}
-    for r in views.select("w", "side", "other", "n").mapInArrow(run, "w long, c long, vec array<double>").collect():  # a row for each kept word
-        if classes[r["w"]] >= free:
-            continue
-        if r["vec"] is None:
-            out[r["w"]] = r["c"]
-        else:
-            parts[r["w"]] = parts.get(r["w"], 0) + np.array(r["vec"])
-    if parts:
-        out[list(parts)] = best(np.stack(list(parts.values())), gain)
+        total = np.zeros(k * k, np.int64)
+        of = shared.value
+        for batch in batches:
+            w = batch.column(0).to_numpy()
+            for at in range(0, len(w), 1024):
+                sizes, ids = _unpacked(batch.column(1).slice(at, 1024), batch.column(2).slice(at, 1024))
+                total += np.bincount(np.repeat(of[w[at : at + 1024]].astype(np.int32) * k, sizes) + of[ids], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    rows = views.select("w", "r0", "r1").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most k x k rows
+    out = np.zeros(k * k)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return out.reshape(k, k)
+
+
+def _choices(views: DataFrame, of: np.ndarray, m: np.ndarray, half: int) -> np.ndarray:
+    """Classes after each word of one half has gone to its best class."""
+    k = len(m)
+    shared = views.sparkSession.sparkContext.broadcast((of, m))
+    chosen = "w int, c int"
+
+    def result(w: np.ndarray, c: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+        moved = c != of[w]
+        return pa.RecordBatch.from_arrays([pa.array(w[moved].astype(np.int32)), pa.array(c[moved].astype(np.int32))], names=["w", "c"])
+
+    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, m = shared.value
+        for batch in batches:
+            for w, left, right, own in _vectors(batch, of, k):
+                yield result(w, _best(m, of[w].astype(np.int64), left, right, own), of)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, _ = shared.value
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for w, left, right, own in _vectors(batch, of, k):
+                for i, row in zip(w.tolist(), np.concatenate([left, right, own[:, None]], axis=1)):
+                    held[i] = held.get(i, 0) + row
+        for at in range(0, len(held), 1024):
+            keys = list(held)[at : at + 1024]
+            dense = np.stack([held[i] for i in keys])
+            row, slot = np.nonzero(dense)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int32)[row]), pa.array(slot.astype(np.int32)), pa.array(dense[row, slot])], names=["w", "slot", "x"])
+
+    def whole(batch: pa.RecordBatch):
+        of, m = shared.value
+        w = batch.column(0).to_numpy().astype(np.int64)
+        dense = np.zeros((len(w), 2 * k + 1))
+        for row, slots in zip(dense, batch.column(1).to_pylist()):
+            row[[s["slot"] for s in slots]] = [s["x"] for s in slots]
+        found = result(w, _best(m, of[w].astype(np.int64), dense[:, :k], dense[:, k : 2 * k], dense[:, -1]), of)
+        yield {"w": found.column(0), "c": found.column(1)}
+
+    columns = ["w", "l0", "l1", "r0", "r1"]
+    some = views.filter(F.col("half") == half).select(*columns).mapInArrow(light, chosen)
+    many = views.filter((F.col("half") == half + 2) & (F.col("w") < len(of) - 1)).select(*columns).mapInArrow(parts, "w int, slot int, x double")
+    many = many.groupBy("w", "slot").agg(F.sum("x").alias("x")).groupBy("w").agg(F.collect_list(F.struct("slot", "x")).alias("slots"))
+    rows = some.unionByName(arrow_map(many, whole, chosen)).toArrow()  # at most a row for each kept word
+    out = of.copy()
+    out[rows["w"].to_numpy()] = rows["c"].to_numpy().astype(of.dtype)
     return out
 
 
-def exchange(pairs: DataFrame, n_ids: int, scratch: Scratch, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Class of each id (the last id alone in the last class), class pair counts, likelihood after each round."""
+def exchange(views: DataFrame, n_ids: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of each id (the last id, the tail, alone in the last class), class pair counts, likelihood after each round."""
     k = classes + 1
-    of = (np.arange(n_ids) % classes).astype(np.int32)
+    of = (np.arange(n_ids) % classes).astype(np.uint8)
     of[-1] = classes
-    # Each pair is seen from both of its words, in the order of words within each file.
-    left = pairs.select(F.col("b").alias("w"), F.lit(0).alias("side"), F.col("a").alias("other"), "n")
-    right = pairs.select(F.col("a").alias("w"), F.lit(1).alias("side"), F.col("b").alias("other"), "n")
-    views = left.unionByName(right).filter(F.col("w") < n_ids - 1)
-    views = scratch.keep(views.repartition("w").sortWithinPartitions("w"), "views")
-    m = _class_pairs(pairs, of, k)
-    history = [_likelihood(m)]
+    m = _class_pairs(views, of, k)
+    history, failed = [_likelihood(m)], 0
     for i in range(rounds):
-        new = _choices(views, of, m, i % 2)
-        table = _class_pairs(pairs, new, k)
-        now = _likelihood(table)
-        if now <= history[-1] and i > 1:
+        wanted = _choices(views, of, m, i % 2)
+        moved = np.flatnonzero(wanted != of)
+        raised = False
+        for share in (1, 2, 4):
+            some = moved[moved * 2654435761 % (1 << 32) >> 16 & (share - 1) == 0]
+            if not len(some):
+                break
+            new = of.copy()
+            new[some] = wanted[some]
+            table = _class_pairs(views, new, k)
+            now = _likelihood(table)
+            if now > history[-1]:
+                of, m, raised = new, table, True
+                history.append(now)
+                break
+        failed = 0 if raised else failed + 1
+        if failed == 2:
             break
-        of, m = new, table
-        history.append(now)
     return of, m, history
 
 
+# -- scoring ------------------------------------------------------------------------
+
+
+def _tail_classes(rows: DataFrame, m: np.ndarray) -> DataFrame:
+    """word, n, class for each training word beyond the kept ones, from the classes around it. ``rows`` are (seq, rare, first) of training rows."""
+    k = len(m)
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, bytearray] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([bytes(x) for x in held.values()], pa.binary())], names=["word", "slots"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            for seq, rare, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if rare:
+                    code = np.frombuffer(seq, np.uint8)
+                    code = np.where(code == _UNKNOWN, k - 1, code & (_ONCE - 1)).astype(np.uint8)
+                    spot = np.flatnonzero(np.frombuffer(seq, np.uint8) == _UNKNOWN)
+                    around = np.stack([np.concatenate([[first], code])[spot], np.append(code, k - 1)[spot + 1]], axis=1).astype(np.uint8).tobytes()
+                    for i, w in enumerate(rare):
+                        held.setdefault(w, bytearray()).extend(around[2 * i : 2 * i + 2])
+                    size += len(rare)
+            if size > _CHUNK // 4:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        held_word, held = None, np.zeros(2 * k)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words_in = batch.column(0).to_pylist()
+            slots = batch.column(1)
+            at = np.frombuffer(slots.buffers()[1], np.int32)[slots.offset : slots.offset + len(slots) + 1]
+            data = np.frombuffer(slots.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].reshape(-1, 2).astype(np.int64)
+            start = [i for i, w in enumerate(words_in) if i == 0 or w != words_in[i - 1]]
+            group = np.zeros(len(words_in), np.int64)
+            group[start[1:]] = 1
+            row = np.repeat(np.cumsum(group), np.diff(at) // 2)
+            dense = sum(np.bincount(row * 2 * k + side * k + data[:, side], minlength=len(start) * 2 * k) for side in (0, 1)).reshape(-1, 2 * k).astype(float)
+            names = [words_in[i] for i in start]
+            if names[0] == held_word:
+                dense[0] += held
+            elif held_word is not None:
+                names, dense = [held_word, *names], np.concatenate([held[None, :], dense])
+            held_word, held = names[-1], dense[-1]
+            if len(names) > 1:
+                yield result(names[:-1], dense[:-1], m)
+        if held_word is not None:
+            yield result([held_word], held[None, :], m)
+
+    def result(names: list[bytes], dense: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        own = np.full(len(names), k - 1)
+        best = _best(m, own, dense[:, :k], dense[:, k:], np.zeros(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(dense[:, :k].sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    found = rows.select("seq", "rare", "first").mapInArrow(contexts, "word binary, slots binary")
+    return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
+
+
 class Model:
-    """What scoring needs in memory: ids and log10 emissions of the kept words, and class transitions."""
+    """Log10 class transitions with the class of unseen words, and the log10 number of tokens of each class."""
 
-    def __init__(self, kept: list[tuple[bytes, int]], of: np.ndarray, m: np.ndarray, total: int, types: int, once: int) -> None:
+    def __init__(self, m: np.ndarray, after_once: np.ndarray, before_once: np.ndarray, once_once: float) -> None:
+        """m: class pair counts; of words seen once: by the class before, by the class after, and among themselves."""
         k = len(m)
-        self.ids = {w: i for i, (w, _) in enumerate(kept)}
-        self.of, self.rest, self.total, self.types = of, k - 1, total, types
-        n = np.array([c for _, c in kept], float)
-        mass = np.bincount(of[: len(kept)], n, k)
-        self.emission = np.log10(n / mass[of[: len(kept)]]) if len(kept) else np.empty(0)
-        self.base = np.log10((n + 1) / (total + types + 1))
-        #: Tokens of words in the last class, and what stands for the unseen.
-        self.rest_mass, self.unseen = total - n.sum(), once + 1.0
-        share = (m.sum(axis=0) + 1) / (m.sum() + k)
-        follow, kinds = m.sum(axis=1, keepdims=True), (m > 0).sum(axis=1, keepdims=True)
+        mass = m.sum(axis=0)
+        share = (mass + 1) / (mass.sum() + k)
+        table = np.vstack([m, before_once])
+        follow, kinds = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
         keep = follow / np.maximum(follow + kinds, 1)
-        self.transition = np.log10(keep * m / np.maximum(follow, 1) + (1 - keep) * share[None, :])
-        self.end_class = int(of[self.ids[END]]) if END in self.ids else self.rest
+        known = keep * table / np.maximum(follow, 1) + (1 - keep) * share[None, :]
+        unseen = (np.append(after_once, once_once) + 0.5) / (follow[:, 0] + 1)
+        self.transition = np.log10(np.hstack([known * (1 - unseen[:, None]), unseen[:, None]]))
+        self.mass = np.append(np.log10(np.maximum(mass, 1)), 0.0)
+
 
+def _final_counts(full: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Class pairs of the training rows; those that end, begin, and do both in a word seen once."""
 
-def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: int = MOST_WORDS, longest_word: int = LONGEST_WORD, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 * k * k, np.int64)
+        for batch in batches:
+            for seq, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                code = np.append(np.uint8(first), np.frombuffer(seq, np.uint8)).astype(np.int64)
+                a, b = code[:-1], code[1:]
+                kind = (a >= _ONCE) * 2 + (b >= _ONCE)
+                total += np.bincount(kind * k * k + (a & (_ONCE - 1)) * k + (b & (_ONCE - 1)), minlength=4 * k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    rows = full.filter("train").select("seq", "first").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 4 k x k rows
+    out = np.zeros(4 * k * k)
+    out[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    out = out.reshape(4, k, k)
+    return out.sum(axis=0), (out[1] + out[3]).sum(axis=1), (out[2] + out[3]).sum(axis=0), float(out[3].sum())
+
+
+def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: int = MOST_WORDS, longest_word: int = LONGEST_WORD, rounds: int = ROUNDS, light: int = LIGHT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
+    if not 0 < classes < _ONCE - 1:
+        raise ValueError("between 1 and 126 classes")
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     learn = plain.filter("train")
     counts = scratch.keep(_counts(learn, "text"), "counts")
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("types"), F.count(F.when(F.col("n") == 1, 1)).alias("once")).first()
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("types")).first()
+    total, types = facts["total"], facts["types"]
     kept = _kept_words(counts, most_words, longest_word)
     shared_ids = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(kept)})
-    n_ids = len(kept) + 1
-    pairs = scratch.keep(_pair_counts(learn, "text", shared_ids, n_ids), "pairs")
-    of, m, _ = exchange(pairs, n_ids, scratch, classes, rounds)
-    model = Model(kept, of, m, facts["total"], facts["types"], facts["once"])
-    shared = spark.sparkContext.broadcast(model)
-
-    def run(batch: pa.RecordBatch):
-        x = shared.value
-        get, base, known, sizes, scores, rare = x.ids.get, [], [], [], [], []
-        n_kept = len(x.ids)
-        for t in utf8(batch.column(1)):
-            seq = words(t)
-            seq.append(END)
-            ids = np.array([get(w, n_kept) for w in seq], np.int64)
-            of_seq = x.of[ids]
-            own = ids[ids < n_kept]
-            before = np.concatenate([[x.end_class], of_seq[:-1]])
-            base.append(float(x.base[own].sum()))
-            known.append(len(own))
-            sizes.append(len(seq))
-            scores.append(float(x.transition[before, of_seq].sum() + x.emission[own].sum()))
-            rare.append(Counter(seq[i] for i in np.flatnonzero(ids == n_kept).tolist()) if len(own) < len(seq) else {})
-        item = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
+    if kept:
+        views = _neighbours(learn, "text", shared_ids, kept, scratch, light)
+        of, m, _ = exchange(views, len(kept) + 1, classes, rounds)
+        scratch.drop("neighbours")
+    else:
+        of, m = np.array([classes], np.uint8), np.zeros((classes + 1, classes + 1))
+    n = np.array([c for _, c in kept], float)
+    codes = np.append(of[:-1] | np.where(n == 1, _ONCE, 0).astype(np.uint8), np.uint8(_UNKNOWN))
+    # What begins a text is the end token; it is unseen, in a class of its own, where nothing was learnt.
+    first = int(of[shared_ids.value[END]]) if END in shared_ids.value else classes
+    shared = spark.sparkContext.broadcast((codes, np.append(np.log10((n + 1) / (total + types + 1)), 0.0), np.append(np.log10(n), 0.0)))
+
+    def encode(batch: pa.RecordBatch):
+        ids, (codes, base, log_n) = shared_ids.value, shared.value
+        n_kept = len(ids)
+        seqs = [[*words(t), END] for t in utf8(batch.column(1))]
+        found = [np.fromiter((ids.get(w, n_kept) for w in s), np.int64, len(s)) for s in seqs]
+        sizes = np.array([len(s) for s in seqs])
+        flat = np.concatenate(found) if found else np.empty(0, np.int64)
+        start = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x[flat], start) if len(flat) else np.empty(0) for x in (base, log_n)]
         yield {
-            "doc_id": batch.column(0), "held_out": pa.array([not v for v in batch.column(2).to_pylist()], pa.bool_()), "n_tokens": pa.array(sizes, pa.int64()), "n_own": pa.array(known, pa.int64()),
-            "base_own": pa.array(base, pa.float64()), "score_own": pa.array(scores, pa.float64()), "rare": pa.array([[{"word": w, "times": n} for w, n in r.items()] for r in rare], item),
+            "doc_id": batch.column(0), "train": batch.column(2), "n_tokens": pa.array(sizes, pa.int64()), "base_own": pa.array(sums[0]), "log_own": pa.array(sums[1]),
+            "seq": pa.array([codes[f].tobytes() for f in found], pa.binary()), "rare": pa.array([[s[i] for i in np.flatnonzero(f == n_kept).tolist()] for s, f in zip(seqs, found)], pa.list_(pa.binary())),
         }
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_own long, base_own double, score_own double, rare array<struct<word:binary,times:long>>"
-    rows = scratch.keep(arrow_map(plain, run, schema, 512).withColumn("row", F.monotonically_increasing_id()), "rows")
-    # Words outside the table: their counts come by a join on the words.
-    rare = rows.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times")
-    found = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    emission = F.log10(F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(model.unseen)) / F.lit(model.rest_mass + model.unseen))
-    sums = found.groupBy("row").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_more"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(model.total + model.types + 1)))).alias("base_more"),
-        F.sum(F.col("times") * emission).alias("score_more"),
-    )
-    sums = scratch.keep(sums, "sums")
-    out = rows.drop("rare").join(sums, "row", "left")
-    more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", more("n_own", "n_more").alias("n_known"), F.lit(int(facts["total"])).cast("long").alias("train_tokens"),
-        more("base_own", "base_more").alias("base_score"), more("score_own", "score_more").alias("score"),
-        F.pow(F.lit(10.0), -more("score_own", "score_more") / F.col("n_tokens")).alias("perplexity"),
+    schema = "doc_id long, train boolean, n_tokens long, base_own double, log_own double, seq binary, rare array<binary>"
+    rows = arrow_map(plain, encode, schema, 512).withColumn("row", F.monotonically_increasing_id()).withColumn("first", F.lit(first))
+    rows = scratch.keep(rows, "rows")
+    # Words beyond the kept ones: their counts and classes come by a join on the words.
+    tail = scratch.keep(_tail_classes(rows.filter("train"), m), "tail")
+    rare = rows.select("row", F.posexplode("rare").alias("i", "word"))
+    heavy = tail.filter(F.col("n") * HEAVY > total)
+    got = join_heavy(rare, tail, ["word"], heavy).select("row", "i", "n", "class")
+    missing = F.lit(float(np.log10(1 / (total + types + 1))))
+    sums = got.groupBy("row").agg(F.count("*").alias("n_found"), F.sum(F.log10((F.col("n") + 1) / F.lit(float(total + types + 1)))).alias("base_more"), F.sum(F.log10("n")).alias("log_more"), F.collect_list(F.struct("i", (F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)).alias("code"))).alias("codes"))
+    n_rare = F.size("rare")
+    found = F.coalesce("n_found", F.lit(0))
+    joined = rows.join(sums, "row", "left").select(
+        "doc_id", "train", "n_tokens", (F.col("n_tokens") - n_rare + found).alias("n_known"), (F.col("base_own") + F.coalesce("base_more", F.lit(0.0)) + missing * (n_rare - found)).alias("base_score"),
+        (F.col("log_own") + F.coalesce("log_more", F.lit(0.0))).alias("log_n"), "seq", "first", "codes",
     )
+
+    def fill(batch: pa.RecordBatch):
+        out = []
+        for seq, some in zip(batch.column(6).to_pylist(), batch.column(8).to_pylist()):
+            code = np.frombuffer(seq, np.uint8).copy()
+            spot = np.flatnonzero(code == _UNKNOWN)
+            code[spot] = classes
+            for c in some or ():
+                code[spot[c["i"]]] = c["code"]
+            out.append(code.tobytes())
+        yield {**{name: batch.column(i) for i, name in enumerate(("doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"))}, "seq": pa.array(out, pa.binary()), "first": batch.column(7)}
+
+    full = scratch.keep(arrow_map(joined, fill, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double, seq binary, first int", 512), "full")
+    model = spark.sparkContext.broadcast(Model(*_final_counts(full, classes)))
+
+    def finish(batch: pa.RecordBatch):
+        x = model.value
+        scores = []
+        for seq, first, log_n in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(5).to_pylist()):
+            code = np.append(np.uint8(first), np.frombuffer(seq, np.uint8) & np.uint8(_ONCE - 1))
+            scores.append(float(x.transition[code[:-1], code[1:]].sum() - x.mass[code[1:]].sum() + log_n))
+        held_out = pa.array([not t for t in batch.column(1).to_pylist()], pa.bool_())
+        yield {"doc_id": batch.column(0), "held_out": held_out, "n_tokens": batch.column(2), "n_known": batch.column(3), "train_tokens": pa.array([int(total)] * batch.num_rows, pa.int64()), "base_score": batch.column(4), "score": pa.array(scores, pa.float64())}
+
+    out = arrow_map(full, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", 512)
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
