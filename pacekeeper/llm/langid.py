@@ -6,10 +6,12 @@ document frequency. Weights are learnt by follow-the-regularised-leader with ela
 penalties on a bounded sample of the labelled rows, and the softmax is calibrated by one
 temperature on a part of that sample which the weights have not seen.
 
-Limits (parameters): at most about ``sample`` rows for fitting, shared evenly over the
-languages and chosen by a hash of the key; 2^``bits`` features. Prediction reads every whole
-text. The model (features x languages floats) is broadcast; its size is fixed by parameters
-and ``most_langs``.
+Limits (parameters): the ``most_langs`` most frequent labels are learnt, others are not and never
+predicted; at most about ``sample`` rows of together at most ``sample_chars`` characters for
+fitting, shared evenly over the languages and chosen by a hash of the key (a text that does not fit
+into what is left is passed over); 2^``bits`` features. Document frequencies count all labelled
+training rows, and prediction reads every whole text. The model (features x languages floats) is
+broadcast; its size is fixed by parameters.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows with a null
 or empty label are not learnt from; without any labelled row everything is ``und``; one
@@ -29,8 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pacekeeper.llm.base import arrow_map
 
 UNKNOWN = "und"
-SAMPLE, BITS, MOST_LANGS, EPOCHS = 4000, 16, 256, 3
-MOST_SAMPLE_CHARS = 20_000_000
+SAMPLE, SAMPLE_CHARS, BITS, MOST_LANGS, EPOCHS = 4000, 20_000_000, 16, 256, 3
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _STEP = 200_000
 
@@ -114,7 +115,33 @@ def _portions(texts: list[str]) -> Iterator[list[int]]:
         yield some
 
 
-def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> Model | None:
+def document_frequencies(docs: DataFrame, text: str = "text", bits: int = BITS) -> tuple[np.ndarray, int]:
+    """In how many of all texts each feature occurs, and how many texts there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << bits) + 1, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                texts = batch.column(0).slice(at, 512).to_pylist()
+                total[-1] += len(texts)
+                for some in _portions(texts):
+                    feat, starts = grams([texts[i] for i in some], bits)
+                    row = np.repeat(np.arange(len(some), dtype=np.int64), np.diff(starts))
+                    both = np.sort(row << bits | feat)
+                    first = np.ones(len(both), bool)
+                    first[1:] = both[1:] != both[:-1]
+                    total[:-1] += np.bincount(both[first] & ((1 << bits) - 1), minlength=1 << bits)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["feature", "n"])
+
+    rows = docs.select(F.coalesce(F.col(text), F.lit(""))).mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()  # at most 2^bits + 1 rows
+    out = np.zeros((1 << bits) + 1)
+    out[rows["feature"].to_numpy()] = rows["n"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def fit(texts: list[str], labels: list[str], frequencies: tuple[np.ndarray, int] | None = None, bits: int = BITS, epochs: int = EPOCHS, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> Model | None:
+    """Weights of the sample; ``frequencies`` are those of all texts, by default of the sample."""
     langs = sorted(set(labels))
     if not langs:
         return None
@@ -127,9 +154,10 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPO
         feat, at = grams([texts[i] for i in some], bits)
         for a, b in zip(at, at[1:]):
             f, c = np.unique(feat[a:b], return_counts=True)
-            df[f] += 1
+            df[f] += 1 if frequencies is None else 0
             data.append((f, (c / max(1, c.sum())).astype(np.float32)))
-    idf = np.log((1 + len(texts)) / (1 + df)) + 1
+    df, n_texts = frequencies or (df, len(texts))
+    idf = np.log((1 + n_texts) / (1 + df)) + 1
     y = np.array([langs.index(x) for x in labels])
     order = np.random.default_rng(seed).permutation(len(texts))
     held = order[: len(order) // 5] if len(order) >= 20 else order
@@ -172,20 +200,31 @@ def fit(texts: list[str], labels: list[str], bits: int = BITS, epochs: int = EPO
     return model
 
 
-def train(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, bits: int = BITS, most_langs: int = MOST_LANGS) -> Model | None:
+def train(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS, bits: int = BITS, most_langs: int = MOST_LANGS) -> Model | None:
     """Fits on about ``sample`` labelled rows of ``docs`` among ``rows``."""
     known = docs.filter(rows & F.col(text).isNotNull() & (F.coalesce(F.col(label), F.lit("")) != "")).select(F.col(key).cast("string").alias("k"), F.col(text).alias("text"), F.col(label).cast("string").alias("label"))
-    found = {r["label"]: (r["n"], r["chars"]) for r in known.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("chars")).orderBy(F.desc("n"), "label").limit(most_langs + 1).collect()}
+    found = {r["label"]: (r["n"], r["chars"]) for r in known.groupBy("label").agg(F.count("*").alias("n"), F.avg(F.least(F.length("text"), F.lit(max(1, sample_chars // 1000)))).alias("chars")).orderBy(F.desc("n"), "label").limit(most_langs).collect()}
     if not found:
         return None
-    if len(found) > most_langs:
-        raise ValueError(f"over {most_langs} languages")
-    each = max(1, sample // len(found))
+    each = max(16, sample // len(found))
     # A share of each language by a hash of its keys: no sort and no language in one task.
-    share = F.create_map(*[F.lit(v) for lang, (n, chars) in found.items() for v in (lang, min(1.0, each / n, MOST_SAMPLE_CHARS / len(found) / max(1.0, n * chars)))])
-    draw = (F.xxhash64("k", F.lit(17)).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)) < share[F.col("label")]
-    got = known.filter(draw).orderBy(F.xxhash64("k", F.lit(18)), "k", "text").limit(2 * sample + most_langs).collect()
-    return fit([r["text"] for r in got], [r["label"] for r in got], bits)
+    share = F.create_map(*[F.lit(v) for lang, (n, chars) in found.items() for v in (lang, min(1.0, each / n, sample_chars / len(found) / max(1.0, n * chars)))])
+    part = (F.xxhash64("k", F.lit(17)).bitwiseAND(F.lit(2**52 - 1)) / float(2**52)) < F.coalesce(share[F.col("label")], F.lit(0.0))
+    drawn = known.filter(part).withColumns({"order": F.xxhash64("k", F.lit(18)), "name": F.xxhash64("text"), "chars": F.length("text")})
+    # Sizes come first, so that what comes to the driver is bounded in characters.
+    listed = drawn.select("order", "k", "name", "chars").orderBy("order", "k", "name").limit(2 * sample + most_langs).collect()
+    left, names = sample_chars, []
+    for r in listed:
+        if r["chars"] <= left:
+            left -= r["chars"]
+            names.append((r["order"], r["k"], r["name"]))
+    wanted = docs.sparkSession.createDataFrame(sorted(set(names), key=repr), "order long, k string, name long")
+    on = drawn["order"].eqNullSafe(wanted["order"]) & drawn["k"].eqNullSafe(wanted["k"]) & drawn["name"].eqNullSafe(wanted["name"])
+    got = drawn.join(F.broadcast(wanted), on, "left_semi").select("order", "k", "text", "label").limit(len(names)).collect()
+    got = sorted(got, key=lambda r: (r["order"], r["k"] or "", r["text"], r["label"]))
+    if not got:
+        return None
+    return fit([r["text"] for r in got], [r["label"] for r in got], document_frequencies(known, "text", bits), bits)
 
 
 def _predicted(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:

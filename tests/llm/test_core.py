@@ -1,8 +1,10 @@
 """Sharding, exact dedup, SimHash, decontamination, BPE and language ID against brute force."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -262,6 +264,79 @@ def test_language_id_odd_input(spark):
     assert {r.score for r in langid.identify(df, one).filter("lang_pred = 'x'").collect()} == {1.0}
 
 
+def test_language_id_many_languages_long_texts_and_other_columns(spark):
+    rows = [(i, chr(0x3400 + 40 * (i % 300)) * 3 + " x", f"l{i % 300:03}") for i in range(1500)] + [(2000, "zq " * 200_000, "l000"), (2001, "qqq", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as label", "1 as k", "2 as name", "3 as n", "4 as score", "5 as lang_pred")
+    model = langid.train(df, langid.F.lit(True), sample=600, sample_chars=20_000, bits=12)
+    assert len(model.langs) <= 256 and model.langs[0] == "l000"
+    got = langid.identify(df, model).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= set(model.langs)
+    few = langid.train(df, langid.F.lit(True), most_langs=3, bits=10)
+    assert few.langs == ["l000", "l001", "l002"]
+    assert langid.drop_unidentified(df, few).columns == df.columns
+
+
+def test_document_frequencies(spark):
+    texts = ["ab", "ab ba", "", None, "c" * 500_000, "12", "ab"]
+    want, n = Counter(), 0
+    for t in texts:
+        want.update(set(langid.grams([t or ""], 8)[0].tolist()))
+    got, n = langid.document_frequencies(frame(spark, texts), "text", 8)
+    assert n == len(texts) and {i: int(x) for i, x in enumerate(got) if x} == dict(want)
+
+
+def plain_ftrl(texts, labels, bits, epochs, alpha, beta, l1, l2, seed):
+    """Follow the regularised leader, one coordinate at a time."""
+    langs = sorted(set(labels))
+    rows = []
+    for t in texts:
+        found = Counter(langid.grams([t], bits)[0].tolist())
+        rows.append({f: c / sum(found.values()) for f, c in sorted(found.items())})
+    df = Counter(f for r in rows for f in r)
+    idf = [math.log((1 + len(texts)) / (1 + df[f])) + 1 for f in range(1 << bits)]
+    order = np.random.default_rng(seed).permutation(len(texts))
+    learn = order[len(order) // 5 :]
+    z, n = {}, {}
+
+    def weight(f, c):
+        v = z.get((f, c), 0.0)
+        return 0.0 if abs(v) <= l1 else (math.copysign(l1, v) - v) / ((beta + math.sqrt(n.get((f, c), 0.0))) / alpha + l2)
+
+    rng = np.random.default_rng(seed + 1)
+    for _ in range(epochs):
+        for i in rng.permutation(learn):
+            x = {f: v * idf[f] * 20 for f, v in rows[i].items()} | {"bias": 1.0}
+            w = {(f, c): weight(f, c) for f in x for c in range(len(langs))}
+            s = [sum(w[f, c] * v for f, v in x.items()) for c in range(len(langs))]
+            e = [math.exp(v - max(s)) for v in s]
+            for c in range(len(langs)):
+                error = e[c] / sum(e) - (langs[c] == labels[i])
+                for f, v in x.items():
+                    g, before = error * v, n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / alpha * w[f, c]
+                    n[f, c] = before + g * g
+    return np.array([[weight(f, c) * idf[f] * 20 for c in range(len(langs))] for f in range(1 << bits)]), [weight("bias", c) for c in range(len(langs))]
+
+
+def test_learner_against_plain_ftrl():
+    rng = random.Random(11)
+    labels = [rng.choice("xyz") for _ in range(60)]
+    texts = ["".join(rng.choices({"x": "abc ", "y": "bcd ", "z": "cde "}[c], k=rng.randrange(3, 30))) for c in labels]
+    model = langid.fit(texts, labels, bits=7, epochs=2, l1=0.05, l2=0.01)
+    weights, bias = plain_ftrl(texts, labels, 7, 2, 2.0, 1.0, 0.05, 0.01, 7)
+    assert np.allclose(model.weights, weights, rtol=1e-4, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-6)
+    assert (weights == 0).any() and (weights != 0).any()
+    # The temperature is the best of the grid for the texts held back from the weights.
+    held = np.random.default_rng(7).permutation(len(texts))[: len(texts) // 5]
+    logits = np.array([[sum(weights[f, c] for f in langid.grams([texts[i]], 7)[0]) / max(1, len(langid.grams([texts[i]], 7)[0])) + bias[c] for c in range(3)] for i in held])
+
+    def loss(t):
+        return -sum(r[model.langs.index(labels[i])] / t - np.logaddexp.reduce(r / t) for i, r in zip(held, logits))
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+    assert loss(model.temperature) == pytest.approx(min(map(loss, grid)), rel=1e-5)
+
+
 def test_grams_do_not_cross_texts():
     feat, at = langid.grams(["ab", "", "ab c", "7 ab!"], 16)
     parts = [sorted(feat[at[i] : at[i + 1]].tolist()) for i in range(4)]
