@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pacekeeper.functions import parse as P
 from pacekeeper.functions.bins import difficulty as difficulty_of
 from pacekeeper.functions.text import base_id
+from pacekeeper.operators.pairs import number_in_groups
 
 
 def repair(df: DataFrame, file: str = "file") -> DataFrame:
@@ -98,7 +99,5 @@ def log_histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def empirical_cdf(df: DataFrame, by: str, value: str, tie: list[str]) -> DataFrame:
     """value and rank / count inside each group; equal values step one by one."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy(by)
-    return df.select(by, value, (F.row_number().over(w.orderBy(value, *tie)) / F.count("*").over(w)).alias("cdf"))
+    ranked = number_in_groups(df.select(by, value, *[c for c in tie if c not in (by, value)]), [by], [value, *tie], "_no", "_n")
+    return ranked.select(by, value, (F.col("_no") / F.col("_n")).alias("cdf"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pacekeeper.functions.bins import speedup as speedup_of
+from pacekeeper.sources.scratch import keep
 
 
 def rank_solutions(solutions: DataFrame, group: str, metric: str, order: Sequence[str]) -> DataFrame:
@@ -44,23 +45,26 @@ def unified(pair_id: Column, problem_id: Column, language: Column, slow_code: Co
     ]
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str = "_no", buckets: int = 64) -> DataFrame:
-    """1, 2, 3 ... in the given order without a single-task sort: range buckets, their counts, ranks inside."""
-    spread = df.repartitionByRange(buckets, *order).withColumn("_part", F.spark_partition_id())
-    return _with_offsets(spread, order, name)
-
-
-def _with_offsets(spread: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    from pacekeeper.sources.scratch import keep
-
-    kept = keep(spread, "numbered")
+def number_rows(df: DataFrame, order: Sequence[str], name: str = "_no") -> DataFrame:
+    """1, 2, 3 ... in the given order without a single-task sort: ranges dealt to all tasks, their counts, ranks inside."""
+    kept = keep(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each bucket
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
     first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     ranked = kept.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     return ranked.join(F.broadcast(first), "_part").withColumn(name, F.col("_first") + F.col("_rank")).drop("_part", "_first", "_rank")
 
 
+def number_in_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "_no", size: str | None = None) -> DataFrame:
+    """1, 2, 3 ... inside each group, and the group's ``size``; a group's rows are ranked in many tasks. Keys may be null."""
+    numbered = keep(number_rows(df, [*by, *order], name), "ranked")
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    starts = numbered.groupBy(*keys).agg(F.min(name).alias("_start"), F.count("*").alias(size or "_size"))
+    on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    out = numbered.join(starts, on).withColumn(name, F.col(name) - F.col("_start") + 1)
+    return out.drop("_start", *[f"_g{i}" for i in range(len(by))], *([] if size else ["_size"]))
+
+
 def convert_src_tgt(df: DataFrame, language: str = "cpp", order: str = "_ord") -> DataFrame:
     """Raw src/tgt pairs to the unified schema. The id counter counts rejected rows too."""
     numbered = number_rows(df, [order])

@@ -3,7 +3,7 @@
 The choice is sequential, so it is made in one task over keys only, and what reaches it is
 bounded by parameters: candidates known by content are removed by an anti-join, equal contents
 are reduced to one, and of each bin only the first 2 x need rows in the order of
-(count of the problem + place inside it) can ever be chosen.
+(count of the problem + place inside it) can ever be chosen. Places are numbered in many tasks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pacekeeper.functions.text import code_hash
 from pacekeeper.operators.dedup import drop_known
+from pacekeeper.operators.pairs import number_in_groups
 from pacekeeper.operators.sampling import SEED, draw
 
 
@@ -71,9 +72,8 @@ def replenish(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target
     fresh = fresh.withColumn("_h", h).withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
     counts = kept.groupBy(problem).agg(F.count("*").alias("_c"))
     placed = fresh.select(bin_col, problem, key, "_h").join(counts, problem, "left").withColumn("_c", F.coalesce("_c", F.lit(0)) if balanced else F.lit(0))
-    inside = F.row_number().over(W.partitionBy(bin_col, problem).orderBy("_h", key)) if balanced else F.lit(0)
-    order = F.row_number().over(W.partitionBy(bin_col).orderBy(F.col("_c") + F.col("_r"), "_h", key))
-    few = placed.withColumn("_r", inside).withColumn("_o", order).filter(F.col("_o") <= 2 * need)
+    inside = number_in_groups(placed, [bin_col, problem], ["_h", key], "_r") if balanced else placed.withColumn("_r", F.lit(0))
+    few = number_in_groups(inside.withColumn("_p", F.col("_c") + F.col("_r")), [bin_col], ["_p", "_h", key], "_o").filter(F.col("_o") <= 2 * need)
     sizes = {r[0]: r[1] for r in kept.groupBy(bin_col).count().collect()}  # a row for each bin
     kinds = {f.name: f.dataType.simpleString() for f in fresh.schema.fields}
 
@@ -84,5 +84,5 @@ def replenish(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target
         got = choose(list(zip(rows[bin_col], rows[problem], rows[key])), sizes, start, need, cap, balanced)
         yield pd.DataFrame({key: pd.Series(got, dtype="object"), "_place": range(len(got))})
 
-    chosen = few.select(bin_col, problem, key, "_c", "_o").coalesce(1).mapInPandas(run, f"{key} {kinds[key]}, _place long")
+    chosen = few.select(bin_col, problem, key, "_c", "_o").repartition(1).mapInPandas(run, f"{key} {kinds[key]}, _place long")
     return fresh.drop("_h", "_copy").join(chosen, key).orderBy("_place").drop("_place")

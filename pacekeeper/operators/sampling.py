@@ -2,7 +2,8 @@
 
 Randomness is the order of md5(seed:key), which any engine can repeat. Bins are few, so bin
 sizes and targets are driver values; rows are never collected. The ``n`` least hashes of a bin
-are found by a histogram of their first digits, so that only about ``n`` rows reach a window.
+are found by a histogram of ranges: ranges that fit into the target are taken as they are, and
+only rows of the range in which it ends are ranked.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from pacekeeper.operators.pairs import number_rows
 from pacekeeper.sources.scratch import keep
 
 SEED = 42
@@ -39,18 +41,27 @@ def bin_targets(sizes: Mapping, total: int) -> dict:
     return {b: min(each + (i < rest), sizes[b]) for i, b in enumerate(there)}
 
 
-def lowest(df: DataFrame, bins: Sequence[str], order: Sequence[Column | str], targets: DataFrame) -> DataFrame:
-    """The first ``_target`` rows of each bin in the order; the first order column is a hex hash.
+def _hash_range(c: Column | str) -> Column:
+    """One of 4096 ranges of a hex hash."""
+    return F.conv(F.substring(c if isinstance(c, Column) else F.col(c), 1, 3), 16, 10).cast("int")
 
-    A histogram over 4096 hash ranges tells where each bin's target is met.
-    """
-    marked = df.withColumn("_range", F.conv(F.substring(order[0] if isinstance(order[0], Column) else F.col(order[0]), 1, 3), 16, 10).cast("int"))
+
+def _cost_range(cost: Column | str) -> Column:
+    """Range of a number of 0 or more; ranges grow with it, 1.1% each."""
+    return F.floor(F.log2((F.col(cost) if isinstance(cost, str) else cost) + 1e-6) * 64).cast("int")
+
+
+def lowest(df: DataFrame, bins: Sequence[str], order: Sequence[Column | str], targets: DataFrame, part: Column | None = None) -> DataFrame:
+    """The first ``_target`` rows of each bin in the order; ``part`` is a range of the first order column, by default a hex hash."""
+    marked = df.withColumn("_range", _hash_range(order[0]) if part is None else part)
     sizes = marked.groupBy(*bins, "_range").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(*bins).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    open_ranges = sizes.withColumn("_before", before).join(targets, list(bins)).filter(F.col("_before") < F.col("_target")).groupBy(*bins).agg(F.max("_range").alias("_upto"), F.max("_target").alias("_target"))
-    near = marked.join(F.broadcast(open_ranges), list(bins)).filter(F.col("_range") <= F.col("_upto"))  # a row for each bin
-    rank = F.row_number().over(W.partitionBy(*bins).orderBy(*order))
-    return near.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_target")).drop("_range", "_upto", "_target", "_rank")
+    open_ranges = sizes.withColumn("_before", before).join(targets, list(bins)).filter(F.col("_before") < F.col("_target"))
+    near = marked.join(F.broadcast(open_ranges), [*bins, "_range"]).withColumn("_left", F.col("_target") - F.col("_before"))  # rows by bin and range
+    whole = near.filter(F.col("_n") <= F.col("_left")).withColumn("_rank", F.lit(0))
+    rank = F.row_number().over(W.partitionBy(*bins).orderBy(*order))  # one range of each bin
+    edge = near.filter(F.col("_n") > F.col("_left")).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
+    return whole.unionByName(edge).select(*df.columns)
 
 
 def _frame(df: DataFrame, bin_col: str, targets: Mapping) -> DataFrame:
@@ -68,9 +79,8 @@ def sample_weighted(df: DataFrame, bin_col: str, key: str, value: str, targets:
     stats = df.groupBy(bin_col).agg(F.avg(F.log2(value)).alias("_mean"), F.stddev_pop(F.log2(value)).alias("_std"))
     z = F.when(F.col("_std") < 1e-6, 0.0).otherwise((F.log2(value) - F.col("_mean")) / F.col("_std"))
     cost = F.round(-F.ln(uniform(F.col(key), seed)) / F.exp(-0.5 * z * z), 6)
-    marked = df.join(F.broadcast(stats), bin_col).withColumn("_cost", cost).join(F.broadcast(_frame(df, bin_col, targets)), bin_col)
-    rank = F.row_number().over(W.partitionBy(bin_col).orderBy("_cost", key))
-    return marked.withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_target")).drop("_mean", "_std", "_cost", "_target", "_rank")
+    marked = df.join(F.broadcast(stats), bin_col).withColumn("_cost", cost)
+    return lowest(marked, [bin_col], ["_cost", key], _frame(df, bin_col, targets), _cost_range("_cost")).drop("_mean", "_std", "_cost")
 
 
 def sub_bins(df: DataFrame, bin_col: str, value: str, n: int) -> DataFrame:
@@ -101,7 +111,8 @@ def _balanced_stage(rows: DataFrame, problem: str, key: str, counts: DataFrame,
     if cap is not None:
         ranked = ranked.filter(F.col("_c") + F.col("_r") <= cap)
     tie = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(problem).cast("string"), F.col("_r").cast("string")))
-    return ranked.orderBy("_r", "_c", tie, problem).limit(target).drop("_r", "_c")
+    numbered = number_rows(ranked.withColumn("_tie", tie), ["_r", "_c", "_tie", problem])
+    return numbered.filter(F.col("_no") <= target).drop("_r", "_c", "_tie", "_no")
 
 
 def sample_balanced(df: DataFrame, bin_col: str, problem: str, key: str, targets: Mapping, value: str | None = None, distribution: str = "natural", cap: int | None = None, n_sub: int = 10, seed: int = SEED) -> DataFrame:

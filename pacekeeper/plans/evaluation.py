@@ -214,6 +214,6 @@ def prompts(spark, sf_dir):
     return tests.select("item_id", "test_no", F.md5(F.element_at("messages", -1)["content"]).alias("user_md5"), F.size("messages").alias("n_messages"))
 
 
-@query("""SELECT item_id, md5('<|im_start|>user' || chr(10) || 'Compare.' || chr(10) || chr(10) || text || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'FASTER 2.00' || '<|im_end|>') AS chat FROM benchmark WHERE text <> ''""")
+@query("""SELECT item_id, md5('<|im_start|>user' || chr(10) || 'Compare.' || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || chr(10) || text END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'FASTER 2.00' || '<|im_end|>') AS chat FROM benchmark""")
 def chat_format(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.md5(M.chat_text(F.lit("Compare."), F.col("text"), F.lit("FASTER 2.00"))).alias("chat"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(M.chat_text(F.lit("Compare."), F.col("text"), F.lit("FASTER 2.00"))).alias("chat"))

@@ -116,16 +116,9 @@ def code_repairs(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", fixed.alias("fixed"), T.rename_main_class(java).alias("renamed"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.1fM', n / 1000000) WHEN n >= 1000 THEN printf('%.1fK', n / 1000) ELSE n::VARCHAR END AS shown
-  FROM (SELECT o_orderkey, o_orderkey * 977 % 3000017 AS n FROM orders) WHERE n % 50 > 0""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderkey * 977 % 3000017 AS n FROM orders)
+  SELECT o_orderkey, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n::DOUBLE / 1000000) WHEN n >= 1000 THEN format('{:.1f}K', n::DOUBLE / 1000) ELSE n::VARCHAR END AS shown FROM c""")
 def human_counts(spark, sf_dir):
-    """As its SQL, without multiples of 50; ``human_counts_all`` has every order."""
-    n = F.col("o_orderkey") * 977 % 3000017
-    return table(spark, sf_dir, "orders").filter(n % 50 > 0).select("o_orderkey", T.human_count(n).alias("shown"))
-
-
-@query()
-def human_counts_all(spark, sf_dir):
     n = F.col("o_orderkey") * 977 % 3000017
     return table(spark, sf_dir, "orders").select("o_orderkey", T.human_count(n).alias("shown"))
 
