@@ -37,7 +37,7 @@ from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy, utf8
 
 CLASSES, MOST_WORDS, LONGEST_WORD, ROUNDS, LIGHT = 48, 1 << 17, 128, 10, 1 << 17
 END = b"\n"  # no word holds white space
-_CHUNK = 2_000_000
+_CHUNK = 4_000_000
 _BUCKETS = 16  # of the logarithm of a count
 _RANGES = 256  # of a word's hash
 _UNKNOWN, _ONCE = 255, 128  # codes of tokens: no class yet; flag of words seen once
@@ -120,28 +120,30 @@ def _unpacked(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
         planes.append((np.diff(at), np.frombuffer(data.tobytes(), kind)))
-    return planes[1][0], planes[0][1].astype(np.int32) | (planes[1][1].astype(np.int32) << 16)
+    ids = planes[1][1].astype(np.int32)
+    ids <<= 16
+    ids |= planes[0][1]
+    return planes[1][0], ids
 
 
 _PACKED = "l0 binary, l1 binary, r0 binary, r1 binary"
 
 
-def _neighbours(docs: DataFrame, text: str, shared, kept: list[tuple[bytes, int]], scratch: Scratch, light: int) -> DataFrame:
-    """w, half, and the packed ids of all that stands before (l0, l1) and after (r0, r1) the word w; the id after the last kept word stands for the tail.
+def _neighbours(rows: DataFrame, kept: list[tuple[bytes, int]], scratch: Scratch, light: int) -> DataFrame:
+    """w, half, and the packed ids of all that stands before (l0, l1) and after (r0, r1) the word w in ``rows`` (low, high); the id after the last kept word stands for the tail.
 
     Half is 0 or 1 for words that lie in one row, 2 and 3 for those with over ``light`` neighbours, which lie in many.
     """
     n_ids = len(kept) + 1
     n_hot = sum(n > light for _, n in kept)
+    end = next(i for i, (w, _) in enumerate(kept) if w == END)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
-        end, rest = ids[END] if END in ids else n_ids - 1, n_ids - 1
-        held: list[int] = [end]
+        held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            seq = np.array(held, np.int64)
-            held[:] = [end]
+            seq = np.concatenate([[end], *held]).astype(np.int64)  # texts end with the end token, which also stands before the next
+            held.clear()
             before, left = _lists(seq[1:], seq[:-1], n_ids)
             after, right = _lists(seq[:-1], seq[1:], n_ids)
             there = np.flatnonzero(before + after)
@@ -153,13 +155,11 @@ def _neighbours(docs: DataFrame, text: str, shared, kept: list[tuple[bytes, int]
                 yield pa.RecordBatch.from_arrays([pa.array(there[part].astype(np.int32)), *columns[0], *columns[1]], names=["w", "l0", "l1", "r0", "r1"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for t in utf8(batch.slice(at, 256).column(0)):
-                    held += [ids.get(w, rest) for w in words(t)]
-                    held.append(end)
-                if len(held) > _CHUNK:
+            for at in range(0, batch.num_rows, 1024):
+                held.append(_unpacked(batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024))[1])
+                if sum(map(len, held)) > _CHUNK:
                     yield from flush()
-        if len(held) > 1:
+        if held:
             yield from flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _neighbours(docs: DataFrame, text: str, shared, kept: list[tuple[bytes, int]
         if held is not None:
             yield merged(held, np.array([0]))
 
-    packed = docs.select(text).mapInArrow(pack, f"w int, {_PACKED}")
+    packed = rows.select("low", "high").mapInArrow(pack, f"w int, {_PACKED}")
     hot = (F.col("w") < n_hot) | (F.col("w") == n_ids - 1)
     dealt = packed.withColumn("deal", F.when(hot, -1 - F.pmod(F.xxhash64("l0", "r0"), F.lit(1 << 20))).otherwise(F.col("w"))).repartition("deal").sortWithinPartitions("w")
     joined = dealt.select("w", "l0", "l1", "r0", "r1").mapInArrow(join, f"w int, {_PACKED}")
@@ -223,21 +223,22 @@ def move_gains(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarr
     s = self_pairs[:, None].astype(float)
     total = np.zeros((n, k))
     for counts, table in ((right, m), (left, m.T)):
-        rows = table[own]
-        out = _f(rows - counts) - _f(rows)
+        out = _f(table[own] - counts) - _f(table)[own]
         total += out.sum(axis=1, keepdims=True) - out - out[at, own][:, None]
         word, slot = np.nonzero(counts)
         gone = slot == own[word]
         word, slot = word[~gone], slot[~gone]
-        old = table[:, slot].T
-        into = _f(old + counts[word, slot][:, None]) - _f(old)
+        by_slot = np.ascontiguousarray(table.T)
+        into = by_slot[slot] + counts[word, slot][:, None]  # above 0
+        into *= np.log(into)
+        into -= _f(by_slot)[slot]
         into[np.arange(len(word)), slot] = 0
-        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else word
         if len(word):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             total[word[first]] += np.add.reduceat(into, first, axis=0)
         size = counts.sum(axis=1, keepdims=True)
         sums = table.sum(axis=1)
-        total -= _f(sums[own][:, None] - size) - _f(sums[own][:, None]) + _f(sums[None, :] + size) - _f(sums[None, :])
+        total -= _f(sums[own][:, None] - size) - _f(sums)[own][:, None] + _f(sums[None, :] + size) - _f(sums)[None, :]
     r_own, l_own = right[at, own][:, None], left[at, own][:, None]
     diag = np.diag(m)
     total += _f(m[own, own][:, None] - r_own - l_own + s) - _f(m[own, own][:, None])
@@ -261,14 +262,15 @@ def _best(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, s
 
 
 def _by_class(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    return np.bincount(row * k + of[ids], minlength=len(sizes) * k).reshape(len(sizes), k).astype(float)
+    at = np.repeat(np.arange(len(sizes)) * k, sizes)
+    at += of[ids]
+    return np.bincount(at, minlength=len(sizes) * k).reshape(len(sizes), k).astype(float)
 
 
 def _vectors(batch: pa.RecordBatch, of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Words of rows (w, l0, l1, r0, r1), counts of classes before and after, and of the word itself after itself; some rows at a time."""
     size = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1])
-    turn = np.searchsorted(np.cumsum(size), np.arange(0, max(1, size.sum()), 2 * _CHUNK))
+    turn = np.searchsorted(np.cumsum(size), np.arange(0, max(1, size.sum()), _CHUNK))
     for a, b in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
         if b > a:
             part = batch.slice(a, b - a)
@@ -378,38 +380,43 @@ def exchange(views: DataFrame, n_ids: int, classes: int = CLASSES, rounds: int =
 # -- scoring ------------------------------------------------------------------------
 
 
-def _tail_classes(rows: DataFrame, m: np.ndarray) -> DataFrame:
-    """word, n, class for each training word beyond the kept ones, from the classes around it. ``rows`` are (seq, rare, first) of training rows."""
+def _tail_classes(rows: DataFrame, codes: np.ndarray, m: np.ndarray) -> DataFrame:
+    """word, n, class for each word beyond the kept ones in ``rows`` (low, high, rare), from the classes around it."""
     k = len(m)
-    shared = rows.sparkSession.sparkContext.broadcast(m)
+    shared = rows.sparkSession.sparkContext.broadcast((np.where(codes == _UNKNOWN, k - 1, codes & (_ONCE - 1)).astype(np.uint8), m))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, bytearray] = {}
-        size = 0
+        of, _ = shared.value
+        found: list[pa.Array] = []
+        around: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array([bytes(x) for x in held.values()], pa.binary())], names=["word", "slots"])
-            held.clear()
-            return out
+            named = pa.concat_arrays(found).dictionary_encode()
+            at = named.indices.to_numpy()
+            slots = np.concatenate(around)[np.argsort(at, kind="stable")]
+            offsets = np.concatenate([[0], 2 * np.cumsum(np.bincount(at, minlength=len(named.dictionary)))]).astype(np.int32)
+            found.clear()
+            around.clear()
+            blobs = pa.Array.from_buffers(pa.binary(), len(named.dictionary), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(slots.tobytes())])
+            return pa.RecordBatch.from_arrays([named.dictionary, blobs], names=["word", "slots"])
 
         for batch in batches:
-            for seq, rare, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if rare:
-                    code = np.frombuffer(seq, np.uint8)
-                    code = np.where(code == _UNKNOWN, k - 1, code & (_ONCE - 1)).astype(np.uint8)
-                    spot = np.flatnonzero(np.frombuffer(seq, np.uint8) == _UNKNOWN)
-                    around = np.stack([np.concatenate([[first], code])[spot], np.append(code, k - 1)[spot + 1]], axis=1).astype(np.uint8).tobytes()
-                    for i, w in enumerate(rare):
-                        held.setdefault(w, bytearray()).extend(around[2 * i : 2 * i + 2])
-                    size += len(rare)
-            if size > _CHUNK // 4:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = _unpacked(part.column(0), part.column(1))[1]
+                spot = np.flatnonzero(ids == len(of) - 1)
+                if len(spot):  # never the last token of a text, and before its first stands the end token, as at the end of all
+                    before = of[ids[spot - 1]]
+                    around.append(np.stack([before, of[ids[spot + 1]]], axis=1).astype(np.uint8))
+                    found.append(part.column(2).flatten())
+            if sum(map(len, found)) > _CHUNK // 4:
                 yield flush()
-                size = 0
-        if held:
+        if found:
             yield flush()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared.value[1]
+        once = result_of(np.repeat(np.eye(k), k, axis=0), np.tile(np.eye(k), (k, 1)), m).reshape(k, k)
         held_word, held = None, np.zeros(2 * k)
         for batch in batches:
             if not batch.num_rows:
@@ -430,16 +437,21 @@ def _tail_classes(rows: DataFrame, m: np.ndarray) -> DataFrame:
                 names, dense = [held_word, *names], np.concatenate([held[None, :], dense])
             held_word, held = names[-1], dense[-1]
             if len(names) > 1:
-                yield result(names[:-1], dense[:-1], m)
+                yield result(names[:-1], dense[:-1], m, once)
         if held_word is not None:
-            yield result([held_word], held[None, :], m)
+            yield result([held_word], held[None, :], m, once)
 
-    def result(names: list[bytes], dense: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-        own = np.full(len(names), k - 1)
-        best = _best(m, own, dense[:, :k], dense[:, k:], np.zeros(len(names)))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(dense[:, :k].sum(axis=1).astype(np.int64)), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+    def result_of(left: np.ndarray, right: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return _best(m, np.full(len(left), k - 1), left, right, np.zeros(len(left)))
 
-    found = rows.select("seq", "rare", "first").mapInArrow(contexts, "word binary, slots binary")
+    def result(names: list[bytes], dense: np.ndarray, m: np.ndarray, once: np.ndarray) -> pa.RecordBatch:
+        """Most words stand in one place only; ``once`` tells their class from the two around them."""
+        n = dense[:, :k].sum(axis=1).astype(np.int64)
+        best = once[dense[:, :k].argmax(axis=1), dense[:, k:].argmax(axis=1)]
+        best[n > 1] = result_of(dense[n > 1, :k], dense[n > 1, k:], m)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
+
+    found = rows.select("low", "high", "rare").mapInArrow(contexts, "word binary, slots binary")
     return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
 
 
@@ -460,27 +472,66 @@ class Model:
         self.mass = np.append(np.log10(np.maximum(mass, 1)), 0.0)
 
 
-def _final_counts(full: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _sequences(column: pa.Array, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all tokens, the code before each, and where each text begins. Texts end with the end token, whose code is ``first``."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    code = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]
+    return code, np.concatenate([[np.uint8(first)], code[:-1]]), at[:-1] - at[0]
+
+
+def _final_counts(full: DataFrame, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Class pairs of the training rows; those that end, begin, and do both in a word seen once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(4 * k * k, np.int64)
         for batch in batches:
-            for seq, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                code = np.append(np.uint8(first), np.frombuffer(seq, np.uint8)).astype(np.int64)
-                a, b = code[:-1], code[1:]
+            for at in range(0, batch.num_rows, 1024):
+                code, before, _ = _sequences(batch.column(0).slice(at, 1024), first)
+                a, b = before.astype(np.int64), code.astype(np.int64)
                 kind = (a >= _ONCE) * 2 + (b >= _ONCE)
                 total += np.bincount(kind * k * k + (a & (_ONCE - 1)) * k + (b & (_ONCE - 1)), minlength=4 * k * k)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    rows = full.filter("train").select("seq", "first").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 4 k x k rows
+    rows = full.filter("train").select("seq").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 4 k x k rows
     out = np.zeros(4 * k * k)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     out = out.reshape(4, k, k)
     return out.sum(axis=0), (out[1] + out[3]).sum(axis=1), (out[2] + out[3]).sum(axis=0), float(out[3].sum())
 
 
+class _Ids(dict):
+    """Ids of the kept words; every other word has the next id."""
+
+    def __missing__(self, word: bytes) -> int:
+        return len(self)
+
+
+def _encoded(plain: DataFrame, kept: list[tuple[bytes, int]], total: int, types: int) -> DataFrame:
+    """row, doc_id, train, packed ids (low, high), words beyond the kept ones in their order (rare), and of the kept ones the sums of base_score and of log10 of their counts."""
+    n = np.array([c for _, c in kept], float)
+    shared = plain.sparkSession.sparkContext.broadcast((_Ids((w, i) for i, (w, _) in enumerate(kept)), np.append(np.log10((n + 1) / (total + types + 1)), 0.0), np.append(np.log10(n), 0.0)))
+
+    def encode(batch: pa.RecordBatch):
+        ids, base, log_n = shared.value
+        flat, sizes = [], []
+        for t in utf8(batch.column(1)):
+            seq = words(t)
+            flat += seq
+            flat.append(END)
+            sizes.append(len(seq) + 1)
+        found, sizes = np.fromiter(map(ids.__getitem__, flat), np.int32, len(flat)), np.array(sizes, np.int64)
+        start = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x[found], start) if len(flat) else np.empty(0) for x in (base, log_n)]
+        spot = np.flatnonzero(found == len(ids))
+        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(spot, np.append(start, len(flat))), pa.int32()), pa.array([flat[i] for i in spot.tolist()], pa.binary()))
+        low, high = _blobs(sizes, found)
+        yield {"doc_id": batch.column(0), "train": batch.column(2), "n_tokens": pa.array(sizes), "base_own": pa.array(sums[0]), "log_own": pa.array(sums[1]), "low": low, "high": high, "rare": rare}
+
+    schema = "doc_id long, train boolean, n_tokens long, base_own double, log_own double, low binary, high binary, rare array<binary>"
+    return arrow_map(plain, encode, schema, 512).withColumn("row", F.monotonically_increasing_id())
+
+
 def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: int = MOST_WORDS, longest_word: int = LONGEST_WORD, rounds: int = ROUNDS, light: int = LIGHT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row."""
     if not 0 < classes < _ONCE - 1:
@@ -488,77 +539,64 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "class-lm")
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    learn = plain.filter("train")
-    counts = scratch.keep(_counts(learn, "text"), "counts")
+    counts = scratch.keep(_counts(plain.filter("train"), "text"), "counts")
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("types")).first()
     total, types = facts["total"], facts["types"]
     kept = _kept_words(counts, most_words, longest_word)
-    shared_ids = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(kept)})
+    n = np.array([c for _, c in kept], float)
+    rows = scratch.keep(_encoded(plain, kept, total, types), "rows")
+    learn = rows.filter("train")
     if kept:
-        views = _neighbours(learn, "text", shared_ids, kept, scratch, light)
-        of, m, _ = exchange(views, len(kept) + 1, classes, rounds)
+        of, m, _ = exchange(_neighbours(learn, kept, scratch, light), len(kept) + 1, classes, rounds)
         scratch.drop("neighbours")
     else:
         of, m = np.array([classes], np.uint8), np.zeros((classes + 1, classes + 1))
-    n = np.array([c for _, c in kept], float)
     codes = np.append(of[:-1] | np.where(n == 1, _ONCE, 0).astype(np.uint8), np.uint8(_UNKNOWN))
     # What begins a text is the end token; it is unseen, in a class of its own, where nothing was learnt.
-    first = int(of[shared_ids.value[END]]) if END in shared_ids.value else classes
-    shared = spark.sparkContext.broadcast((codes, np.append(np.log10((n + 1) / (total + types + 1)), 0.0), np.append(np.log10(n), 0.0)))
-
-    def encode(batch: pa.RecordBatch):
-        ids, (codes, base, log_n) = shared_ids.value, shared.value
-        n_kept = len(ids)
-        seqs = [[*words(t), END] for t in utf8(batch.column(1))]
-        found = [np.fromiter((ids.get(w, n_kept) for w in s), np.int64, len(s)) for s in seqs]
-        sizes = np.array([len(s) for s in seqs])
-        flat = np.concatenate(found) if found else np.empty(0, np.int64)
-        start = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x[flat], start) if len(flat) else np.empty(0) for x in (base, log_n)]
-        yield {
-            "doc_id": batch.column(0), "train": batch.column(2), "n_tokens": pa.array(sizes, pa.int64()), "base_own": pa.array(sums[0]), "log_own": pa.array(sums[1]),
-            "seq": pa.array([codes[f].tobytes() for f in found], pa.binary()), "rare": pa.array([[s[i] for i in np.flatnonzero(f == n_kept).tolist()] for s, f in zip(seqs, found)], pa.list_(pa.binary())),
-        }
-
-    schema = "doc_id long, train boolean, n_tokens long, base_own double, log_own double, seq binary, rare array<binary>"
-    rows = arrow_map(plain, encode, schema, 512).withColumn("row", F.monotonically_increasing_id()).withColumn("first", F.lit(first))
-    rows = scratch.keep(rows, "rows")
+    first = int(codes[[w for w, _ in kept].index(END)]) if kept else classes
     # Words beyond the kept ones: their counts and classes come by a join on the words.
-    tail = scratch.keep(_tail_classes(rows.filter("train"), m), "tail")
+    tail = scratch.keep(_tail_classes(learn, codes, m), "tail")
     rare = rows.select("row", F.posexplode("rare").alias("i", "word"))
-    heavy = tail.filter(F.col("n") * HEAVY > total)
-    got = join_heavy(rare, tail, ["word"], heavy).select("row", "i", "n", "class")
-    missing = F.lit(float(np.log10(1 / (total + types + 1))))
-    sums = got.groupBy("row").agg(F.count("*").alias("n_found"), F.sum(F.log10((F.col("n") + 1) / F.lit(float(total + types + 1)))).alias("base_more"), F.sum(F.log10("n")).alias("log_more"), F.collect_list(F.struct("i", (F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)).alias("code"))).alias("codes"))
-    n_rare = F.size("rare")
-    found = F.coalesce("n_found", F.lit(0))
+    got = join_heavy(rare, tail, ["word"], tail.filter(F.col("n") * HEAVY > total))
+    code = F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)
+    all_of = float(total + types + 1)
+    sums = got.groupBy("row").agg(
+        F.count("*").alias("n_found"), F.sum(F.log10((F.col("n") + 1) / F.lit(all_of))).alias("base_more"), F.sum(F.log10("n")).alias("log_more"), F.collect_list(F.col("i").cast("long") * 256 + code).alias("codes")
+    )
+    found, n_rare = F.coalesce("n_found", F.lit(0)), F.size("rare")
     joined = rows.join(sums, "row", "left").select(
-        "doc_id", "train", "n_tokens", (F.col("n_tokens") - n_rare + found).alias("n_known"), (F.col("base_own") + F.coalesce("base_more", F.lit(0.0)) + missing * (n_rare - found)).alias("base_score"),
-        (F.col("log_own") + F.coalesce("log_more", F.lit(0.0))).alias("log_n"), "seq", "first", "codes",
+        "low", "high", "codes", "doc_id", "train", "n_tokens", (F.col("n_tokens") - n_rare + found).alias("n_known"),
+        (F.col("base_own") + F.coalesce("base_more", F.lit(0.0)) + F.lit(float(np.log10(1 / all_of))) * (n_rare - found)).alias("base_score"), (F.col("log_own") + F.coalesce("log_more", F.lit(0.0))).alias("log_n"),
     )
+    shared_codes = spark.sparkContext.broadcast(codes)
 
     def fill(batch: pa.RecordBatch):
-        out = []
-        for seq, some in zip(batch.column(6).to_pylist(), batch.column(8).to_pylist()):
-            code = np.frombuffer(seq, np.uint8).copy()
-            spot = np.flatnonzero(code == _UNKNOWN)
-            code[spot] = classes
-            for c in some or ():
-                code[spot[c["i"]]] = c["code"]
-            out.append(code.tobytes())
-        yield {**{name: batch.column(i) for i, name in enumerate(("doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"))}, "seq": pa.array(out, pa.binary()), "first": batch.column(7)}
-
-    full = scratch.keep(arrow_map(joined, fill, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double, seq binary, first int", 512), "full")
-    model = spark.sparkContext.broadcast(Model(*_final_counts(full, classes)))
+        """Places of words beyond the kept ones get the codes that were found, or that of the unseen."""
+        sizes, ids = _unpacked(batch.column(0), batch.column(1))
+        code = shared_codes.value[ids]
+        spot = np.flatnonzero(code == _UNKNOWN)
+        code[spot] = classes
+        some = batch.column(2)
+        start = np.searchsorted(spot, np.cumsum(sizes) - sizes)
+        more = some.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        if len(more):
+            code[spot[start[row] + (more >> 8)]] = more & 255
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        seq = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())])
+        yield {"seq": seq, **{name: batch.column(i) for i, name in enumerate(("doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"), 3)}}
+
+    full = scratch.keep(arrow_map(joined, fill, "seq binary, doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double", 512), "full")
+    model = spark.sparkContext.broadcast(Model(*_final_counts(full, classes, first)))
 
     def finish(batch: pa.RecordBatch):
         x = model.value
-        scores = []
-        for seq, first, log_n in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), batch.column(5).to_pylist()):
-            code = np.append(np.uint8(first), np.frombuffer(seq, np.uint8) & np.uint8(_ONCE - 1))
-            scores.append(float(x.transition[code[:-1], code[1:]].sum() - x.mass[code[1:]].sum() + log_n))
-        held_out = pa.array([not t for t in batch.column(1).to_pylist()], pa.bool_())
-        yield {"doc_id": batch.column(0), "held_out": held_out, "n_tokens": batch.column(2), "n_known": batch.column(3), "train_tokens": pa.array([int(total)] * batch.num_rows, pa.int64()), "base_score": batch.column(4), "score": pa.array(scores, pa.float64())}
+        code, before, start = _sequences(batch.column(0), first)
+        code, before = code & np.uint8(_ONCE - 1), before & np.uint8(_ONCE - 1)
+        steps = np.add.reduceat(x.transition[before, code] - x.mass[code], start) if len(code) else np.empty(0)
+        held_out = pa.array([not t for t in batch.column(2).to_pylist()], pa.bool_())
+        scores = pa.array(steps + batch.column(6).to_numpy(zero_copy_only=False))
+        yield {"doc_id": batch.column(1), "held_out": held_out, "n_tokens": batch.column(3), "n_known": batch.column(4), "train_tokens": pa.array([int(total)] * batch.num_rows, pa.int64()), "base_score": batch.column(5), "score": scores}
 
     out = arrow_map(full, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double", 512)
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

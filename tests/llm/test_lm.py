@@ -175,13 +175,18 @@ def plain_exchange(seqs, n_ids, classes, rounds, half_of):
     return of, history
 
 
+def neighbours(spark, df, kept, light):
+    rows = class_lm._encoded(df.selectExpr("doc_id", "text", "true as train"), kept, 1, 1)
+    return class_lm._neighbours(rows, kept, Scratch(spark, "t"), light)
+
+
 @pytest.mark.parametrize("light", [1 << 17, 20])
 def test_exchange_against_brute_force(spark, light):
     texts = texts_of(2, 40)
     df = frame(spark, texts)
     kept = class_lm._kept_words(class_lm._counts(df, "text"), 1000, 64)
     ids = {w: i for i, (w, _) in enumerate(kept)}
-    views = class_lm._neighbours(df, "text", spark.sparkContext.broadcast(ids), kept, Scratch(spark, "t"), light)
+    views = neighbours(spark, df, kept, light)
     half_of = {r.w: r.half % 2 for r in views.select("w", "half").collect()}
     assert any(r.half > 1 for r in views.select("half").collect()) == (light == 20)
     of, m, history = class_lm.exchange(views, len(kept) + 1, 4, 8)
@@ -194,8 +199,7 @@ def test_exchange_against_brute_force(spark, light):
 def test_exchange_does_not_depend_on_files(spark):
     df = frame(spark, texts_of(2, 200))
     kept = class_lm._kept_words(class_lm._counts(df, "text"), 1000, 64)
-    ids = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(kept)})
-    views = class_lm._neighbours(df, "text", ids, kept, Scratch(spark, "t"), 50)
+    views = neighbours(spark, df, kept, 50)
     of, _, history = class_lm.exchange(views, len(kept) + 1, 4, 8)
     sides = defaultdict(set)
     for (w, _), c in zip(kept, of):
