@@ -26,47 +26,55 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy, utf8
+from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy
 
 CLASSES, MOST_WORDS, LONGEST_WORD, ROUNDS, LIGHT = 48, 1 << 17, 128, 10, 1 << 17
 END = b"\n"  # no word holds white space
-_CHUNK = 4_000_000
+_CHUNK = 3_000_000
 _BUCKETS = 16  # of the logarithm of a count
 _RANGES = 256  # of a word's hash
 _UNKNOWN, _ONCE = 255, 128  # codes of tokens: no class yet; flag of words seen once
 
 
-def words(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts as one array of bytes, and how many each text has: A-Z lower-cased, split at 0x20 and 0x09-0x0D."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, sizes = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text
+    if not full.all():
+        flat, sizes = flat.filter(pa.array(full)), np.add.reduceat(full, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return flat, sizes.astype(np.int64)
 
 
 def _counts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.Array] = []
+        texts = 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+            found = pa.concat_arrays(held).value_counts()
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                for t in utf8(batch.slice(at, 512).column(0)):
-                    held.update(words(t))
-                    held[END] += 1
-                if len(held) > _CHUNK // 8:
+            for at in range(0, batch.num_rows, 4096):
+                held.append(words(batch.column(0).slice(at, 4096))[0])
+                texts += min(4096, batch.num_rows - at)
+                if sum(map(len, held)) > _CHUNK:
                     yield flush()
         if held:
             yield flush()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([texts], pa.int64())], names=["word", "n"])
 
-    return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).cast("string")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _kept_words(counts: DataFrame, most_words: int, longest_word: int) -> list[tuple[bytes, int]]:
@@ -100,8 +108,11 @@ def _kept_words(counts: DataFrame, most_words: int, longest_word: int) -> list[t
 
 def _lists(keys: np.ndarray, others: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
     """How many ``others`` each key has, and all others in order of keys."""
-    both = np.sort(keys * np.int64(1 << 24) + others)
-    return np.bincount(keys, minlength=n_ids), both & ((1 << 24) - 1)
+    both = keys * np.int64(1 << 24)
+    both += others
+    both.sort()
+    both &= (1 << 24) - 1
+    return np.bincount(keys, minlength=n_ids), both.astype(np.int32)
 
 
 def _blobs(sizes: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
@@ -500,36 +511,91 @@ def _final_counts(full: DataFrame, k: int, first: int) -> tuple[np.ndarray, np.n
     return out.sum(axis=0), (out[1] + out[3]).sum(axis=1), (out[2] + out[3]).sum(axis=0), float(out[3].sum())
 
 
-class _Ids(dict):
-    """Ids of the kept words; every other word has the next id."""
-
-    def __missing__(self, word: bytes) -> int:
-        return len(self)
-
-
 def _encoded(plain: DataFrame, kept: list[tuple[bytes, int]], total: int, types: int) -> DataFrame:
     """row, doc_id, train, packed ids (low, high), words beyond the kept ones in their order (rare), and of the kept ones the sums of base_score and of log10 of their counts."""
-    n = np.array([c for _, c in kept], float)
-    shared = plain.sparkSession.sparkContext.broadcast((_Ids((w, i) for i, (w, _) in enumerate(kept)), np.append(np.log10((n + 1) / (total + types + 1)), 0.0), np.append(np.log10(n), 0.0)))
-
-    def encode(batch: pa.RecordBatch):
-        ids, base, log_n = shared.value
-        flat, sizes = [], []
-        for t in utf8(batch.column(1)):
-            seq = words(t)
-            flat += seq
-            flat.append(END)
-            sizes.append(len(seq) + 1)
-        found, sizes = np.fromiter(map(ids.__getitem__, flat), np.int32, len(flat)), np.array(sizes, np.int64)
-        start = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x[found], start) if len(flat) else np.empty(0) for x in (base, log_n)]
-        spot = np.flatnonzero(found == len(ids))
-        rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(spot, np.append(start, len(flat))), pa.int32()), pa.array([flat[i] for i in spot.tolist()], pa.binary()))
-        low, high = _blobs(sizes, found)
-        yield {"doc_id": batch.column(0), "train": batch.column(2), "n_tokens": pa.array(sizes), "base_own": pa.array(sums[0]), "log_own": pa.array(sums[1]), "low": low, "high": high, "rare": rare}
+    n, n_kept = np.array([c for _, c in kept], float), len(kept)
+    known = [w for w, _ in kept]
+    end = known.index(END) if kept else 0
+    shared = plain.sparkSession.sparkContext.broadcast((known, np.append(np.log10((n + 1) / (total + types + 1)), 0.0), np.append(np.log10(n), 0.0)))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, base, log_n = shared.value
+        known = pa.array(known, pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                flat, sizes = words(part.column(1))
+                place = np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)
+                ids = np.full(len(flat) + len(sizes), end, np.int32)
+                ids[place] = pc.fill_null(pc.index_in(flat, value_set=known), n_kept).to_numpy(zero_copy_only=False)
+                source = np.full(len(ids), len(flat))
+                source[place] = np.arange(len(flat))
+                sizes = sizes + 1
+                start = np.cumsum(sizes) - sizes
+                spot = np.flatnonzero(ids == n_kept)
+                rare = pa.concat_arrays([flat, pa.array([END], pa.binary())]).take(pa.array(source[spot]))
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(spot, np.append(start, len(ids))), pa.int32()), rare)
+                sums = [pa.array(np.add.reduceat(x[ids], start)) for x in (base, log_n)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes), *sums, *_blobs(sizes, ids), rare], names=["doc_id", "train", "n_tokens", "base_own", "log_own", "low", "high", "rare"])
 
     schema = "doc_id long, train boolean, n_tokens long, base_own double, log_own double, low binary, high binary, rare array<binary>"
-    return arrow_map(plain, encode, schema, 512).withColumn("row", F.monotonically_increasing_id())
+    return plain.select("doc_id", F.col("text").cast("string"), "train").mapInArrow(encode, schema).withColumn("row", F.monotonically_increasing_id())
+
+
+def _filled(rows: DataFrame, got: DataFrame, codes: np.ndarray, classes: int, all_of: int) -> DataFrame:
+    """Rows with the codes of all tokens (seq), n_known, base_score and log_n (sum of log10 of the counts).
+
+    ``got`` (row, i, n, class) are the words beyond the kept ones that were found; those that were not get the code
+    of the unseen. A row and its words come together by a shuffle, the row first.
+    """
+    columns = ["doc_id", "train", "n_tokens", "base_own", "log_own"]
+    shared = rows.sparkSession.sparkContext.broadcast(codes)
+
+    def code(batch: pa.RecordBatch):
+        sizes, ids = _unpacked(batch.column(0), batch.column(1))
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        seq = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(shared.value[ids].tobytes())])
+        yield {"row": batch.column(2), "seq": seq, **{c: batch.column(i) for i, c in enumerate(columns, 3)}}
+
+    kinds = "doc_id long, train boolean, n_tokens long, base_own double, log_own double"
+    coded = arrow_map(rows.select("low", "high", "row", *columns), code, f"row long, seq binary, {kinds}", 1024)
+    code_of = F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)
+    both = coded.withColumns({"i": F.lit(-1), "n": F.lit(0).cast("long"), "code": F.lit(0)}).unionByName(got.select("row", "i", "n", code_of.cast("int").alias("code")), allowMissingColumns=True)
+
+    def filled(table: pa.Table) -> pa.RecordBatch:
+        i, n, code = (table[c].to_numpy() for c in ("i", "n", "code"))
+        own = i < 0
+        docs = table.filter(pa.array(own)).combine_chunks().to_batches()[0]
+        seq, _, start = _sequences(docs.column("seq"), 0)
+        seq, d = seq.copy(), (np.cumsum(own) - 1)[~own]
+        spot = np.flatnonzero(seq == _UNKNOWN)
+        seq[spot] = classes
+        first = np.searchsorted(spot, np.append(start, len(seq)))
+        seq[spot[first[d] + i[~own]]] = code[~own]
+        n = n[~own].astype(float)
+        found, base, log_n = (np.bincount(d, w, minlength=docs.num_rows) for w in (None, np.log10((n + 1) / all_of), np.log10(n)))
+        unseen = np.diff(first) - found
+        offsets = np.append(start, len(seq)).astype(np.int32)
+        out = [
+            pa.Array.from_buffers(pa.binary(), docs.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(seq.tobytes())]), docs.column("doc_id"), docs.column("train"), docs.column("n_tokens"),
+            pa.array(docs.column("n_tokens").to_numpy() - unseen), pa.array(docs.column("base_own").to_numpy() + base - np.log10(all_of) * unseen), pa.array(docs.column("log_own").to_numpy() + log_n),
+        ]
+        return pa.RecordBatch.from_arrays(out, names=["seq", "doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last row and its words so far
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            turn = np.flatnonzero(table["i"].to_numpy() < 0)
+            last = int(turn[-1]) if len(turn) else 0
+            if last:
+                yield filled(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield filled(held)
+
+    schema = "seq binary, doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double"
+    return both.repartition("row").sortWithinPartitions("row", "i").mapInArrow(fill, schema)
 
 
 def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: int = MOST_WORDS, longest_word: int = LONGEST_WORD, rounds: int = ROUNDS, light: int = LIGHT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -558,35 +624,7 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: in
     tail = scratch.keep(_tail_classes(learn, codes, m), "tail")
     rare = rows.select("row", F.posexplode("rare").alias("i", "word"))
     got = join_heavy(rare, tail, ["word"], tail.filter(F.col("n") * HEAVY > total))
-    code = F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)
-    all_of = float(total + types + 1)
-    sums = got.groupBy("row").agg(
-        F.count("*").alias("n_found"), F.sum(F.log10((F.col("n") + 1) / F.lit(all_of))).alias("base_more"), F.sum(F.log10("n")).alias("log_more"), F.collect_list(F.col("i").cast("long") * 256 + code).alias("codes")
-    )
-    found, n_rare = F.coalesce("n_found", F.lit(0)), F.size("rare")
-    joined = rows.join(sums, "row", "left").select(
-        "low", "high", "codes", "doc_id", "train", "n_tokens", (F.col("n_tokens") - n_rare + found).alias("n_known"),
-        (F.col("base_own") + F.coalesce("base_more", F.lit(0.0)) + F.lit(float(np.log10(1 / all_of))) * (n_rare - found)).alias("base_score"), (F.col("log_own") + F.coalesce("log_more", F.lit(0.0))).alias("log_n"),
-    )
-    shared_codes = spark.sparkContext.broadcast(codes)
-
-    def fill(batch: pa.RecordBatch):
-        """Places of words beyond the kept ones get the codes that were found, or that of the unseen."""
-        sizes, ids = _unpacked(batch.column(0), batch.column(1))
-        code = shared_codes.value[ids]
-        spot = np.flatnonzero(code == _UNKNOWN)
-        code[spot] = classes
-        some = batch.column(2)
-        start = np.searchsorted(spot, np.cumsum(sizes) - sizes)
-        more = some.flatten().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(sizes)), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        if len(more):
-            code[spot[start[row] + (more >> 8)]] = more & 255
-        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        seq = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(code.tobytes())])
-        yield {"seq": seq, **{name: batch.column(i) for i, name in enumerate(("doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"), 3)}}
-
-    full = scratch.keep(arrow_map(joined, fill, "seq binary, doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double", 512), "full")
+    full = scratch.keep(_filled(rows, got, codes, classes, total + types + 1), "full")
     model = spark.sparkContext.broadcast(Model(*_final_counts(full, classes, first)))
 
     def finish(batch: pa.RecordBatch):

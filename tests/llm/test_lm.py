@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,12 @@ def test_scores_follow_the_formulas(spark, monkeypatch, most_words, light):
         assert r.score == pytest.approx(want[i])
 
 
+def test_words():
+    texts = ODD + [" a\tB\n\x0bc \x1cd\x85\u00a0e  ", "\n", "ÄÖ Z"]
+    flat, sizes = class_lm.words(pa.array(texts, pa.string()))
+    assert flat.to_pylist() == [w for t in texts for w in toks(t)[:-1]] and sizes.tolist() == [len(toks(t)) - 1 for t in texts]
+
+
 def test_probabilities_add_up():
     x = class_lm.Model(np.array([[3, 2, 1], [1, 0, 2], [1, 2, 0]], float), np.array([1.0, 0, 2]), np.array([2.0, 1, 0]), 1.0)
     assert np.allclose((10.0**x.transition).sum(axis=1), 1) and x.transition.shape == (4, 4)
