@@ -11,7 +11,7 @@ from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, MapType, StringType, StructType
 
 Text = Column | str
 
@@ -194,3 +194,10 @@ def synthetic_id(pair_id: Text, problem_id: Text, speedup: Text, line: Text) ->
     pid, prob, sp = (F.nullif(_col(c).cast("string"), F.lit("")) for c in (pair_id, problem_id, speedup))
     tail = F.concat(F.lit("line_"), _col(line).cast("string"))
     return F.coalesce(pid, F.concat(prob, F.lit("_"), sp), F.concat(prob, F.lit("_line"), _col(line).cast("string")), tail)
+
+
+def json_value(x: Column, kind: DataType) -> Column:
+    """JSON text of a value that is JSON text itself or an object; null where text is no JSON."""
+    if isinstance(kind, StringType):
+        return F.when(F.try_parse_json(x).isNotNull(), x)
+    return F.to_json(x) if isinstance(kind, (StructType, ArrayType, MapType)) else x.cast("string")

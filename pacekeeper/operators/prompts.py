@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -101,3 +103,72 @@ def respond(tests: DataFrame, predict: Callable[[list[list[dict]]], list[str]],
 
     kind = tests.schema[key].dataType.simpleString()
     return tests.mapInPandas(run, f"{key} {kind}, test_no int, response string")
+
+
+#: Outcomes of a call, and what stands for an answer that the service withheld or cut.
+FILTERED, CUT = "Content filtered by API", "\n\n[RESPONSE TRUNCATED]"
+
+
+def call_once(call: Callable[[list[dict]], object], messages: list[dict], attempts: int = 3, pause: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """response, status (ok, truncated, filtered, empty, error), attempts and token counts of one call.
+
+    ``call`` gives the text, or a dictionary with content, finish_reason, prompt_tokens and completion_tokens. Empty
+    answers and exceptions are tried again after ``pause``, 2 x ``pause`` ... seconds; a filtered answer is final.
+    """
+    told = {"response": "Max retries exceeded", "status": "error", "attempts": 0, "prompt_tokens": 0, "completion_tokens": 0}
+    for i in range(1, attempts + 1):
+        if i > 1:
+            sleep(pause * (i - 1))
+        told["attempts"] = i
+        try:
+            got = call(messages)
+            got = {"content": got} if got is None or isinstance(got, str) else dict(got)
+            content, reason = (got.get("content") or "").strip(), got.get("finish_reason")
+        except Exception as error:  # noqa: BLE001  whatever a client raises is an outcome of the row
+            told |= {"response": str(error)[:500], "status": "error"}
+            continue
+        if content:
+            cut = reason == "length"
+            tokens = {k: int(got.get(k) or 0) for k in ("prompt_tokens", "completion_tokens")}
+            return told | tokens | {"response": content + CUT if cut else content, "status": "truncated" if cut else "ok"}
+        if reason == "content_filter":
+            return told | {"response": FILTERED, "status": "filtered"}
+        told |= {"response": f"Empty content (finish_reason: {reason})", "status": "empty"}
+    return told
+
+
+def ask(tests: DataFrame, connect: Callable[[], Callable[[list[dict]], object]], key: str = "pair_id", attempts: int = 3, pause: float = 3.0, threads: int = 8) -> DataFrame:
+    """key, test_no, response, status, attempts, prompt_tokens, completion_tokens of a service that answers one message list at a time.
+
+    ``connect`` makes the callable once for each task; at most ``threads`` (64) calls of a task are under way at a time. A failed
+    call is an outcome of its row and never of the task.
+    """
+    threads = max(1, min(64, threads))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = connect()
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                for at in range(0, len(b), 8 * threads):
+                    part = b.iloc[at : at + 8 * threads]
+                    found = pool.map(lambda ms: call_once(call, [dict(m) for m in ms], attempts, pause), part["messages"])
+                    out = pd.DataFrame(list(found))
+                    out.insert(0, "test_no", part["test_no"].to_numpy())
+                    out.insert(0, key, part[key].to_numpy())
+                    yield out
+
+    kind = tests.schema[key].dataType.simpleString()
+    return tests.select(key, "test_no", "messages").mapInPandas(run, f"`{key}` {kind}, test_no int, response string, status string, attempts int, prompt_tokens long, completion_tokens long")
+
+
+def local_messages(code_a: Column, code_b: Column, language: Column) -> Column:
+    """Messages for a local model that is to answer with one letter."""
+    lang = language_name(language)
+    system = F.concat(F.lit("You judge the speed of "), lang, F.lit(" programs."))
+    ask_for = F.concat(F.lit("These "), lang, F.lit(" programs do the same.\n\n"), _programs([code_a, code_b], lang), F.lit("Reply with one letter and nothing else, A or B: the program that is faster."))
+    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), ask_for.alias("content")))
+
+
+def trained_format_messages(instruction: Column, given: Column) -> Column:
+    """Messages for a local model in the form of its training samples."""
+    return F.array(F.struct(F.lit("system").alias("role"), instruction.alias("content")), F.struct(F.lit("user").alias("role"), given.alias("content")))

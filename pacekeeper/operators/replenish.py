@@ -9,11 +9,12 @@ are reduced to one, and of each bin only the first 2 x need rows in the order of
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from pacekeeper.functions.bins import bin_index, bin_name
 from pacekeeper.functions.text import code_hash
 from pacekeeper.operators.dedup import drop_known
 from pacekeeper.operators.pairs import number_in_groups
@@ -86,3 +87,22 @@ def replenish(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target
 
     chosen = few.select(bin_col, problem, key, "_c", "_o").repartition(1).mapInPandas(run, f"{key} {kinds[key]}, _place long")
     return fresh.drop("_h", "_copy").join(chosen, key).orderBy("_place").drop("_place")
+
+
+def with_bin(df: DataFrame, bins: Sequence[float], name: str = "bin") -> DataFrame:
+    """``df`` with ``_speedup`` and its bin, for candidates of either form.
+
+    The speed-up is that of the row, or slow over fast time (slow_time and fast_time, or else src_agg_runtime and
+    tgt_agg_runtime; an absent slow time is 0), and 1 where the fast time is no number above 0. Outside the bins the bin is null.
+    """
+    first = lambda names, last: F.coalesce(*[F.col(c).cast("string") for c in names if c in df.columns], F.lit(last))
+    slow, fast = (first(names, "0").try_cast("double") for names in (("slow_time", "src_agg_runtime"), ("fast_time", "tgt_agg_runtime")))
+    given = F.coalesce(*[F.col(c).try_cast("double") for c in ("speedup", "_speedup") if c in df.columns], F.lit(None).cast("double"))
+    out = df.withColumn("_speedup", F.coalesce(given, F.when(fast > 0, slow / fast), F.lit(1.0)))
+    return out.withColumn(name, bin_name(bin_index(F.col("_speedup"), bins), bins))
+
+
+def refilled(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target: int, bin_col: str, problem: str, key: str, src: str, tgt: str, **how) -> DataFrame:
+    """The final sample: ``kept`` and what fills it up, with ``refilled`` telling them apart."""
+    fill = replenish(kept, removed, candidates, target, bin_col, problem, key, src, tgt, **how)
+    return kept.withColumn("refilled", F.lit(False)).unionByName(fill.withColumn("refilled", F.lit(True)), allowMissingColumns=True)

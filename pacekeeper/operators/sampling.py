@@ -182,3 +182,14 @@ def bin_report(df: DataFrame, sampled: DataFrame, bin_col: str, targets: Mapping
     dim = df.sparkSession.createDataFrame([(i, name, int(targets.get(i, 0))) for i, name in enumerate(labels)], f"{bin_col} int, label string, target long")
     count = lambda d, n: d.groupBy(bin_col).agg(F.count("*").alias(n))
     return F.broadcast(dim).join(count(df, "original"), bin_col, "left").join(count(sampled, "sampled"), bin_col, "left").fillna(0, ["original", "sampled"])
+
+
+def bins_of_two(first: DataFrame, second: DataFrame, label: str, names: Sequence[str] = ("sampled", "final")) -> DataFrame:
+    """Numbers of rows in both frames for each label that either has, in the order of labels; rows without one are ``unknown``."""
+    count = lambda d, n: d.groupBy(F.coalesce(F.col(label), F.lit("unknown")).alias(label)).agg(F.count("*").alias(n))
+    return count(first, names[0]).join(count(second, names[1]), label, "full").fillna(0, list(names)).orderBy(label)
+
+
+def jitter(key: Column, seed: int = SEED, width: float = 0.35) -> Column:
+    """A number between -``width`` and ``width`` for a scatter plot, the same for the same key."""
+    return (uniform(key, seed, "jitter") * 2 - 1) * width

@@ -93,8 +93,8 @@ def python_syntax(x: pd.Series) -> pd.Series:
 def sanitized(df: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
     """``df`` with cleaned_code, sanitize_method, syntax_valid. Null code stays null, with status error.
 
-    C++ and Java count as valid: no compiler is called from a query. Unknown languages get a basic,
-    unsafe cleaning and status skipped.
+    C++ and Java count as valid, with syntax_checked false: no compiler is called here, but by ``execute.compiled_syntax`` if it
+    is allowed to. Unknown languages get a basic, unsafe cleaning and status skipped.
     """
     lang = F.lower(F.coalesce(language, F.lit("")))
     kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in ALIASES.items() for v in kv]), lang), F.lit("other"))
@@ -108,7 +108,8 @@ def sanitized(df: DataFrame, code: str = "code", language: str = "language") ->
     method = F.when(F.col("_kind") == "python", F.col("_py.method")).when(F.col("_kind") == "other", "basic_unsafe").otherwise(F.concat("_kind", F.lit("_state_machine")))
     checked = python_syntax(F.when(F.col("_kind") == "python", F.col("cleaned_code")))
     status = F.when(c.isNull(), "error").when(F.col("_kind") == "other", "skipped").when(F.col("_kind") == "python", checked).otherwise("valid")
-    return rows.withColumn("sanitize_method", method).withColumn("syntax_valid", status).drop("_kind", "_py")
+    checked = (F.col("_kind") == "python") & c.isNotNull()
+    return rows.withColumns({"sanitize_method": method, "syntax_valid": status, "syntax_checked": checked}).drop("_kind", "_py")
 
 
 def batch_stats(df: DataFrame) -> DataFrame:

@@ -221,3 +221,75 @@ def log_histogram(spark, sf_dir):
 @query("""WITH t AS (SELECT doc_id, quality FROM labels) SELECT d.doc_id FROM documents d SEMI JOIN t ON d.doc_id = t.doc_id AND t.quality = 1""")
 def semi_valid(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id")
+
+
+# -- operators beside the main line ------------------------------------------
+
+
+@query("""SELECT coalesce(CASE WHEN doc_id % 2 = 0 THEN 'p' || doc_id END, 'sampled_' || row_number() OVER (ORDER BY doc_id)) AS pair_id, coalesce(source, 'unknown') AS problem_id, coalesce(lang, 'unknown') AS language,
+  round(coalesce(n_chars, 0), 6)::DOUBLE AS slow_time, 0.0::DOUBLE AS fast_time, 'sampled' AS source FROM documents QUALIFY coalesce(text, '') <> ''""")
+def convert_sampled(spark, sf_dir):
+    """Pairs that are there already; a time of 0 is no reason to go."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string")))
+    raw = docs.select(F.col("doc_id").alias("_ord"), name.alias("pair_id"), F.col("source").alias("problem_id"), F.col("lang").alias("language"), F.col("text").alias("slow_code"), F.col("text").alias("fast_code"),
+                      F.col("n_chars").cast("double").alias("slow_time"), F.lit(0.0).alias("fast_time"), F.lit(None).cast("double").alias("speedup"))
+    return P.convert(raw).select("pair_id", "problem_id", "language", "slow_time", "fast_time", "source")
+
+
+@query(f"""WITH {_PAIRS.strip()} SELECT 'java_' || row_number() OVER (ORDER BY l_orderkey, fast_rn, slow_rn) AS pair_id, l_orderkey::VARCHAR AS problem_id, round(slow_time, 6) AS slow_time, round(fast_time, 6) AS fast_time FROM pairs""")
+def convert_solutions(spark, sf_dir):
+    """Measured solutions, told by their columns, to numbered pairs."""
+    order = F.struct(*ORDER)
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("_key"), F.col("l_orderkey").cast("string").alias("problem_id"), F.lit("success").alias("status"), F.col("l_extendedprice").alias("avg_time_ns"),
+                                                   F.lit("c").alias("code"), F.lit("s").alias("solution_id"), order.alias("_ord"))
+    pairs = P.form_pairs(rows, "_key", "avg_time_ns", ["_ord"], ["problem_id"])
+    numbered = P.number_rows(pairs, ["_key", "fast_rn", "slow_rn"])
+    return numbered.select(F.concat(F.lit("java_"), F.col("_no").cast("string")).alias("pair_id"), F.col("fast_problem_id").alias("problem_id"), F.round("slow_time", 6).alias("slow_time"), F.round("fast_time", 6).alias("fast_time"))
+
+
+@query("SELECT l.lang AS label, coalesce(a.n, 0) AS sampled, coalesce(b.n, 0) AS final FROM (SELECT lang FROM documents UNION SELECT role FROM conversations) l LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) a USING (lang) LEFT JOIN (SELECT role AS lang, count(*) AS n FROM conversations GROUP BY 1) b USING (lang)")
+def bins_of_two(spark, sf_dir):
+    """Labels of either frame."""
+    docs, turns = table(spark, sf_dir, "documents").select(F.col("lang").alias("label")), table(spark, sf_dir, "conversations").select(F.col("role").alias("label"))
+    return S.bins_of_two(docs, turns, "label")
+
+
+@query(f"WITH {_TARGETS.format(total=203).strip()} SELECT (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS bin, lang AS label, target, n AS original, target AS sampled FROM targets")
+def bin_report(spark, sf_dir):
+    """Rows by bin before and after sampling beside the targets."""
+    docs = _docs(spark, sf_dir)
+    names = sorted(S.bin_sizes(docs, "lang"))
+    index = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") - 1
+    docs = docs.withColumn("bin", index)
+    targets = S.bin_targets(S.bin_sizes(docs, "bin"), 203)
+    return S.bin_report(docs, S.sample_natural(docs, "bin", "doc_id", targets), "bin", targets, names)
+
+
+@query(f"SELECT doc_id, round(({_U.replace('42:', '42:jitter:')} * 2 - 1) * 0.35, 12) AS jitter FROM documents")
+def jitter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.jitter(F.col("doc_id")), 12).alias("jitter"))
+
+
+@query(_COMPONENTS + """, m AS (SELECT lang, source, row_number() OVER (PARTITION BY component ORDER BY n_chars DESC, doc_id) = 1 AS kept FROM comp JOIN t USING (doc_id))
+  SELECT lang, source, count(*) AS original_count, count(*) FILTER (kept) AS kept_count FROM m GROUP BY 1, 2 HAVING count(*) FILTER (NOT kept) > 0""")
+def duplicate_details(spark, sf_dir):
+    """Every group that lost rows."""
+    return D.duplicate_details(_marked(spark, sf_dir), ["lang", "source"], None)
+
+
+@query(f"""WITH g AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN l_quantity / 10 END AS given, l_extendedprice AS slow, CASE l_linenumber WHEN 2 THEN 0 ELSE l_quantity * 100 END AS fast FROM lineitem),
+  s AS (SELECT l_orderkey, l_linenumber, coalesce(given, CASE WHEN fast > 0 THEN slow / fast END, 1.0) AS speedup FROM g)
+  SELECT l_orderkey, l_linenumber, CASE {_BIN} {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(B.labels(B.SAMPLING_BINS)))} END AS bin FROM s""")
+def refill_bins(spark, sf_dir):
+    """Candidates of the older form get their bin from their run times, 1 where there is none."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") == 1, F.col("l_quantity") / 10).alias("speedup"), F.col("l_extendedprice").alias("src_agg_runtime"), F.when(F.col("l_linenumber") == 2, 0.0).otherwise(F.col("l_quantity") * 100).alias("tgt_agg_runtime"))
+    return R.with_bin(rows, B.SAMPLING_BINS).select("l_orderkey", "l_linenumber", "bin")
+
+
+@query()
+def refilled(spark, sf_dir):
+    """The deduplicated sample together with what fills it up."""
+    docs = table(spark, sf_dir, "documents").withColumn("tgt", F.col("text"))
+    kept = S.sample_natural(docs, "lang", "doc_id", _targets(docs, 120))
+    return R.refilled(kept, docs.filter("source = 'src3'"), docs, 160, "lang", "source", "doc_id", "text", "tgt", balanced=False).select("doc_id", "lang", "source", "refilled")

@@ -108,7 +108,12 @@ def direction_counts(spark, sf_dir):
     return A.direction_counts(_predictions(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_PRED}, acc AS (SELECT f, difficulty, count(*) AS total, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) * 100.0::DOUBLE / count(*), 4) AS accuracy FROM lev GROUP BY 1, 2),
+  po AS (SELECT f, difficulty, {_OUT} GROUP BY 1, 2), whole AS (SELECT f, {_OUT} GROUP BY 1),
+  m AS (SELECT f, '{{' || string_agg('"' || difficulty || '":{{"total":' || total || ',"correct":' || correct || ',"accuracy":' || accuracy || ',"pairs":' || coalesce(pairs, 0) || ',"both_correct":' || coalesce(both_correct, 0) || ',"both_wrong":' || coalesce(both_wrong, 0) || '}}', ',' ORDER BY difficulty) || '}}' AS by_difficulty
+    FROM acc LEFT JOIN po USING (f, difficulty) GROUP BY 1),
+  e AS (SELECT f, count(*) AS total, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) * 100.0::DOUBLE / count(*), 4) AS accuracy, count(pv) AS n, round(avg(abs(pv - ev)), 6) AS mae, round(sqrt(avg((pv - ev) * (pv - ev))), 6) AS rmse FROM pred GROUP BY 1)
+  SELECT 'f' || f AS file, e.* EXCLUDE (f), whole.* EXCLUDE (f), by_difficulty FROM e LEFT JOIN whole USING (f) JOIN m USING (f)""")
 def analysis_report(spark, sf_dir):
     out = A.report(_predictions(spark, sf_dir))
     return out.withColumn("by_difficulty", F.to_json("by_difficulty"))
@@ -217,3 +222,36 @@ def prompts(spark, sf_dir):
 @query("""SELECT item_id, md5('<|im_start|>user' || chr(10) || 'Compare.' || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || chr(10) || text END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || 'FASTER 2.00' || '<|im_end|>') AS chat FROM benchmark""")
 def chat_format(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.md5(M.chat_text(F.lit("Compare."), F.col("text"), F.lit("FASTER 2.00"))).alias("chat"))
+
+
+_HEADS = ["FASTER 2.50 and 9", "slower: at -1.5", "B"]
+
+
+@query(f"""WITH r AS (SELECT doc_id, doc_id % 4 IN (0, 1) AS small, doc_id % 4 IN (1, 3) AS zero, {_case(["FASTER", "SLOWER", None], "doc_id % 3", "VARCHAR")} AS d, {_case([2.5, -1.5, None], "doc_id % 3", "DOUBLE")} AS v, {_case(["A", "A", "B"], "doc_id % 3", "VARCHAR")} AS l FROM documents)
+  SELECT doc_id, CASE WHEN small AND NOT zero THEN d ELSE 'SLOWER' END AS predicted_direction, CASE WHEN small AND NOT zero THEN v ELSE 1.0 END AS predicted_value, CASE WHEN small AND zero THEN l ELSE 'A' END AS predicted,
+    CASE WHEN small AND zero THEN l = 'B' WHEN small THEN coalesce(d = 'FASTER', false) ELSE true END AS correct FROM r""")
+def repair(spark, sf_dir):
+    """Answers in files of the small model are parsed anew, as letters or directions by the file's name."""
+    names = F.element_at(F.array(*map(F.lit, ("x_7b.jsonl", "zeroshot_7B.jsonl", "large.jsonl", "zeroshot_large.jsonl"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", names.alias("file"), _pick(_HEADS, F.col("doc_id")).alias("response"), F.lit("SLOWER").alias("predicted_direction"), F.lit(1.0).alias("predicted_value"), F.lit("A").alias("predicted"),
+        F.lit("FASTER").alias("expected_direction"), F.lit("B").alias("expected"), F.lit(True).alias("correct"),
+    )
+    return A.repair(rows).select("doc_id", "predicted_direction", "predicted_value", "predicted", "correct")
+
+
+def _program(letter: str, code: str) -> str:
+    return f"'Program {letter}:' || chr(10) || '{_FENCE}python' || chr(10) || {code} || chr(10) || '{_FENCE}' || chr(10) || chr(10)"
+
+
+@query(f"""WITH q AS (SELECT item_id, text AS s, 'x = ' || item_id AS f, 'y' AS m FROM benchmark), t AS (SELECT item_id, 1 AS test_no, f AS a, m AS b, s AS c FROM q UNION ALL SELECT item_id, 2, s, f, m FROM q UNION ALL SELECT item_id, 3, m, s, f FROM q)
+  SELECT item_id, test_no, md5('Which of these Python programs runs faster on large inputs?' || chr(10) || chr(10) || {_program("A", "a")} || {_program("B", "b")} || {_program("C", "c")} || 'End with one last line of exactly this form: **Answer: A, B or C**') AS user_md5 FROM t""")
+def triple_prompts(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("slow_code"), F.concat(F.lit("x = "), F.col("item_id").cast("string")).alias("fast_code"), F.lit("y").alias("medium_code"), F.lit("py").alias("language"))
+    return M.rotated_tests(items, "item_id").select("item_id", "test_no", F.md5(F.element_at("messages", -1)["content"]).alias("user_md5"))
+
+
+@query(f"""SELECT item_id, 'You judge the speed of Python programs.' AS system, md5('These Python programs do the same.' || chr(10) || chr(10) || {_program("A", "text")} || {_program("B", "'x'")} || 'Reply with one letter and nothing else, A or B: the program that is faster.') AS user_md5 FROM benchmark""")
+def local_prompts(spark, sf_dir):
+    m = M.local_messages(F.col("text"), F.lit("x"), F.lit("python"))
+    return table(spark, sf_dir, "benchmark").select("item_id", m.alias("m")).select("item_id", F.col("m")[0]["content"].alias("system"), F.md5(F.col("m")[1]["content"]).alias("user_md5"))

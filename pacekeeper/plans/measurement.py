@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pacekeeper.functions import stats as S
-from pacekeeper.operators import measure as M, select as J
+from pacekeeper.operators import execute as X, measure as M, select as J
 from pacekeeper.plans.registry import query, table
 
 _TRIMMED = """
@@ -154,3 +154,25 @@ def merge_test_cases(spark, sf_dir):
     raw = e.select(F.col("user_id").alias("problem_id"), io.alias("input_output"), more.alias("test_cases"), F.lit('["b"]').alias("base_input"))
     out = M.test_cases(raw, 50)
     return out.select("problem_id", F.size("cases").alias("n_cases"), F.size(F.filter("cases", lambda c: c["output"].isNotNull())).cast("long").alias("n_outputs"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS c, l_linenumber AS t, CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END AS rc0, CASE WHEN l_quantity = 30 THEN -1 ELSE 0 END AS rc1, l_returnflag AS o0, CASE WHEN l_quantity % 10 = 0 THEN 'X' ELSE l_returnflag END AS o1 FROM lineitem),
+  j AS (SELECT a.c, a.rc0 <> 0 OR b.rc1 <> 0 AS bad, a.o0 = b.o1 AS same FROM l a JOIN l b ON a.c = b.c AND a.t = b.t),
+  n AS (SELECT c, count(*) FILTER (NOT bad AND same) AS passed, count(*) FILTER (NOT bad AND NOT same) AS failed, count(*) FILTER (bad) AS error_cases FROM j GROUP BY 1)
+  SELECT o_orderkey AS code_id, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(error_cases, 0) AS error_cases, round(coalesce(passed::DOUBLE / (passed + failed + error_cases), 1.0), 9) AS pass_rate, coalesce(failed, 0) = 0 AS is_equivalent FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN n ON c = o_orderkey""")
+def equivalence(spark, sf_dir):
+    """Two versions of a program (order) on its tests (lines); orders without lines have no test."""
+    lines = table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_orderkey").alias("code_id"), F.col("l_linenumber").alias("test_id")]
+    before = lines.select(*keys, F.when(F.col("l_linenumber") == 7, 1).otherwise(0).alias("rc"), F.concat("l_returnflag", F.lit("  ")).alias("output"))
+    after = lines.select(*keys, F.when(F.col("l_quantity") == 30, -1).otherwise(0).alias("rc"), F.when(F.col("l_quantity") % 10 == 0, "X").otherwise(F.col("l_returnflag")).alias("output"))
+    out = X.equivalence(before, after, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("code_id")))
+    return out.select("code_id", "passed", "failed", "error_cases", F.round("pass_rate", 9).alias("pass_rate"), "is_equivalent")
+
+
+@query("""SELECT l_orderkey AS code_id, l_linenumber AS test_id, l_quantity <> 30 AND (l_linenumber % 2 = 0 OR l_returnflag = 'N') AS passed FROM lineitem WHERE l_linenumber <= 7""")
+def pass_table(spark, sf_dir):
+    """Which program passed which test; even tests expect nothing but a good end."""
+    results = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("code_id"), F.col("l_linenumber").alias("test_id"), F.when(F.col("l_quantity") == 30, -1).otherwise(0).alias("rc"), F.concat("l_returnflag", F.lit("  ")).alias("output"))
+    tests = spark.range(1, 8).select(F.col("id").alias("test_id"), F.when(F.col("id") % 2 == 1, "N").alias("expected"))
+    return X.pass_table(results, tests)

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-from pacekeeper.plans import dataset, evaluation, measurement, texts  # noqa: E402, F401  they register themselves
+from pacekeeper.plans import dataset, evaluation, files, measurement, texts  # noqa: E402, F401  they register themselves

@@ -92,7 +92,7 @@ def strip_comments(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(Z.strip_c_comments(_coded(), "java")).alias("h"))
 
 
-@query()
+@query("""SELECT CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'cpp_state_machine' WHEN 2 THEN 'java_state_machine' ELSE 'basic_unsafe' END AS sanitize_method, CASE WHEN doc_id % 4 = 3 THEN 'skipped' ELSE 'valid' END AS syntax_valid, count(*) AS n FROM documents GROUP BY ALL""")
 def sanitize_stats(spark, sf_dir):
     """Documents as programs of four languages: method and syntax status."""
     lang = F.element_at(F.array(*map(F.lit, ("python", "cpp", "java", "rust"))), (F.col("doc_id") % 4 + 1).cast("int"))
@@ -138,3 +138,29 @@ def identifiers(spark, sf_dir):
     made = T.synthetic_id(F.when(k == 0, F.concat(F.lit("p"), n)).otherwise(""), F.when(k < 3, F.col("source")), F.when(k == 1, F.col("n_chars")), F.col("doc_id"))
     side = F.when(k > 1, "_forward").otherwise("_reversed")
     return _docs(spark, sf_dir).select("doc_id", made.alias("id"), T.base_id(F.concat(F.lit("q"), n, F.lit("_x"), side)).alias("base"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, list_distinct({_TOKENS.format(_NORM)}) AS s FROM documents),
+  p AS (SELECT a.doc_id, CASE WHEN len(a.s) + len(b.s) = 0 THEN 1.0 ELSE len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) END::DOUBLE AS x, CASE WHEN a.lang = b.lang THEN 1.0 ELSE 0.0 END::DOUBLE AS y FROM t a JOIN t b ON b.doc_id = a.doc_id + 1)
+  SELECT doc_id, round(x, 9) AS src, round(y, 9) AS tgt, round(least(x, y), 9) AS "both", round(greatest(x, y), 9) AS either FROM p""")
+def pair_similarity_modes(spark, sf_dir):
+    """Two similarities of a pair taken as one in four ways."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("text2"), F.col("lang").alias("lang2"))
+    x, y = T.similarity("text", "text2", "jaccard"), F.when(F.col("lang") == F.col("lang2"), 1.0).otherwise(0.0)
+    return rows.join(after, "doc_id").select("doc_id", *[F.round(T.pair_similarity(x, y, mode), 9).alias(mode) for mode in ("src", "tgt", "both", "either")])
+
+
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all({_CODED}, '{_SPLIT}', 1),
+  lambda x: CASE WHEN starts_with(x, '//') THEN '' WHEN starts_with(x, '/*') THEN CASE WHEN contains(x, chr(10)) THEN chr(10) ELSE ' ' END ELSE x END), '')) AS h FROM documents""")
+def strip_comments_cpp(spark, sf_dir):
+    """C++ comments outside literals."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(Z.strip_c_comments(_coded(), "cpp")).alias("h"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '{"a": ' || doc_id || '}' END AS from_text, '[' || doc_id || ',' || n_chars || ']' AS from_object FROM documents""")
+def json_values(spark, sf_dir):
+    """JSON text stays, other text is null, objects become text."""
+    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"a": '), F.col("doc_id").cast("string"), F.lit("}"))).otherwise("{a")
+    rows = _docs(spark, sf_dir).select("doc_id", text.alias("t"), F.array("doc_id", "n_chars").alias("o"))
+    return rows.select("doc_id", T.json_value(F.col("t"), rows.schema["t"].dataType).alias("from_text"), T.json_value(F.col("o"), rows.schema["o"].dataType).alias("from_object"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
@@ -94,6 +94,16 @@ def append_successes(df: DataFrame, path: str) -> None:
     write(df.filter("status = 'success'"), path, "append")
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with that text."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """The frame's rows as one JSON document each (for small aggregates)."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
@@ -104,3 +114,45 @@ def schema_report(df: DataFrame, required: Sequence[str], preview: int = 50) ->
     first = df.first()
     rows = [{"name": f.name, "type": f.dataType.simpleString(), "preview": None if first is None else str(first[f.name])[:preview], "required": f.name in required} for f in df.schema.fields]
     return [*rows, *[{"name": r, "type": "missing", "preview": None, "required": True} for r in required if r not in df.columns]]
+
+
+def read_directory(spark: SparkSession, folder: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
+    """Good rows of all ``*.jsonl`` files of a folder, and for every file, in the order of names, its lines, good and bad.
+
+    One file's fault does not touch the others: malformed lines and files that can't be read to the end only show in the second frame.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/*.jsonl")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    paths = sorted(f.getPath().toString() for f in found or [])
+    given = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = spark.createDataFrame([(i, p.rpartition("/")[2]) for i, p in enumerate(paths)], "_file_no int, _file string")
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*given.fields, T.StructField("_file", T.StringType()), T.StructField("_ord", T.LongType())])), names.selectExpr("_file", "0L as lines", "0L as good", "0L as bad")
+    lines = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(paths).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+\.jsonl)(?:/[^/]*)?$", 1).alias("_file")).withColumn("_ord", F.monotonically_increasing_id())
+    wide = T.StructType([*given.fields, T.StructField(BAD, T.StringType())])
+    parsed = lines.filter(F.trim("value") != "").select("_file", "_ord", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("_r"))
+    good = F.col(f"_r.{BAD}").isNull()
+    counts = parsed.groupBy("_file").agg(F.count("*").alias("lines"), F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+    told = names.join(counts, "_file", "left").fillna(0, ["lines", "good", "bad"]).orderBy("_file_no").select("_file", "lines", "good", "bad")
+    return parsed.filter(good).select(*[F.col(f"_r.`{f.name}`") for f in given.fields], "_file", "_ord"), told
+
+
+def write_in_portions(df: DataFrame, path: str, key: str, portions: int, report: Callable[[DataFrame], DataFrame], report_path: str) -> None:
+    """Appends the rows portion by portion (by a hash of the key) and renews the report after each, and at the end whatever happens.
+
+    After a failure the rows of the portions that were done are there, and ``completed`` and ``resume`` leave only the others.
+    """
+    spark, schema = df.sparkSession, df.schema
+
+    def renew() -> None:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            write_report(report(spark.read.schema(schema).json(path)), report_path)
+
+    try:
+        for i in range(portions):
+            write(df.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(portions)) == i), path, "append")
+            if i + 1 < portions:
+                renew()
+    finally:
+        renew()
