@@ -4,8 +4,8 @@ Counts cover all training rows, and every training word gets one of ``classes``
 ``most_words`` most frequent words take part in the exchange: in a round the words of one half
 of them look for the class to which their move raises the likelihood of the class pairs most (by
 the exact change, all other words staying where they are); these moves are made together if the
-likelihood of the whole rises, else those of a half or a quarter of the words. Rounds stop when no
-move helps. Every further word (the tail) then goes to the class that raises the likelihood most.
+likelihood of the whole rises, else those of a half or a quarter of them, whichever helps more. Rounds
+stop when no move helps. Every further word (the tail) then goes to the class that raises the likelihood most.
 
 P(word | previous) = P(class | class of previous) P(word | class). Class transitions are
 interpolated with class frequencies by Witten-Bell weights, so that no transition is impossible.
@@ -14,7 +14,7 @@ once do (Good-Turing), and what follows it is what follows them. Probabilities a
 
 What a task holds is bounded by parameters: ``most_words`` words of at most ``longest_word`` bytes
 with their classes, and classes x classes counts. The exchange reads, for each word, the packed ids
-of its neighbours: three bytes for each neighbour, in rows of a bounded size; words of over ``light``
+of its neighbours: three bytes for each, in rows of about a million; words of over ``light``
 neighbours lie in many rows and tasks, and their counts by class are added up by a shuffle. The
 classes of the tail are a table that meets the tokens by a join.
 
@@ -137,79 +137,120 @@ def _unpacked(low: pa.Array, high: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return planes[1][0], ids
 
 
-_PACKED = "l0 binary, l1 binary, r0 binary, r1 binary"
+def _flat(column: pa.Array, kind: type) -> np.ndarray:
+    """All numbers in some rows of a binary column."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].tobytes(), kind)
+
+
+def _joined(column: pa.Array, start: np.ndarray) -> pa.Array:
+    """Values of a binary column put together from each of ``start`` to the next."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(at[start], at[-1]).astype(np.int32).tobytes()), column.buffers()[2]])
+
+
+def _groups(n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
+    """Group and half of each id from the counts in falling order (the last id, the tail, is on its own in half 4).
+
+    Words of one half and about one count make a group of at most 256 words and about a million neighbours. Words
+    of over ``light`` neighbours have a group each, of half 2 or 3.
+    """
+    ids = np.arange(len(n), dtype=np.uint64)
+    half = ((ids * np.uint64(2654435761) >> np.uint64(16)) & np.uint64(1)).astype(np.int64)
+    name = np.full((len(n) + 1, 4), -1)
+    name[:-1, 0] = np.where(n > light, half + 2, half)
+    name[-1, 0] = 4
+    for h in (0, 1):
+        mine = np.flatnonzero((half == h) & (n <= light))
+        name[mine, 1], name[mine, 2] = np.cumsum(n[mine]) // 1_000_000, np.arange(len(mine)) // 256
+    hot = np.flatnonzero(n > light)
+    name[hot, 3] = hot
+    found, group = np.unique(name, axis=0, return_inverse=True)
+    return group.reshape(-1), found[:, 0]
+
+
+_PACKED = ("w", "nl", "nr", "l0", "l1", "r0", "r1")
 
 
 def _neighbours(rows: DataFrame, kept: list[tuple[bytes, int]], scratch: Scratch, light: int) -> DataFrame:
-    """w, half, and the packed ids of all that stands before (l0, l1) and after (r0, r1) the word w in ``rows`` (low, high); the id after the last kept word stands for the tail.
+    """Packed lists of the ids that stand before (l0, l1) and after (r0, r1) words in ``rows`` (low, high); the id after the last kept word stands for the tail.
 
-    Half is 0 or 1 for words that lie in one row, 2 and 3 for those with over ``light`` neighbours, which lie in many.
+    A row has the words (w) of a group and how many neighbours each has (nl, nr); a word may come several times. Half is
+    0 or 1 for groups in one row, 2 and 3 for single words with over ``light`` neighbours, in many rows, 4 for the tail.
     """
     n_ids = len(kept) + 1
-    n_hot = sum(n > light for _, n in kept)
     end = next(i for i, (w, _) in enumerate(kept) if w == END)
+    group, half = _groups(np.array([n for _, n in kept]), light)
+    order = np.argsort(group, kind="stable")  # ids, group by group
+    place = np.empty(n_ids, np.int64)
+    place[order] = np.arange(n_ids)
+    shared = rows.sparkSession.sparkContext.broadcast((group[order], half, order, place))
+    schema = "g int, half int, " + ", ".join(f"{c} binary" for c in _PACKED)
+    names = ["g", "half", *_PACKED]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, half, order, place = shared.value
         held: list[np.ndarray] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            seq = np.concatenate([[end], *held]).astype(np.int64)  # texts end with the end token, which also stands before the next
+        def flush() -> pa.RecordBatch:
+            seq = np.concatenate([[end], *held])  # texts end with the end token, which also stands before the next
             held.clear()
-            before, left = _lists(seq[1:], seq[:-1], n_ids)
-            after, right = _lists(seq[:-1], seq[1:], n_ids)
+            (before, left), (after, right) = _lists(place[seq[1:]], seq[:-1], n_ids), _lists(place[seq[:-1]], seq[1:], n_ids)
             there = np.flatnonzero(before + after)
-            sizes = [x[there] for x in (before, after)]
-            ends = [np.concatenate([[0], np.cumsum(x)]) for x in sizes]
-            for at in range(0, len(there), 8192):
-                part = slice(at, min(at + 8192, len(there)))
-                columns = [_blobs(s[part], x[e[part.start] : e[part.stop]]) for s, e, x in zip(sizes, ends, (left, right))]
-                yield pa.RecordBatch.from_arrays([pa.array(there[part].astype(np.int32)), *columns[0], *columns[1]], names=["w", "l0", "l1", "r0", "r1"])
+            start = np.flatnonzero(np.concatenate([[True], group[there][1:] != group[there][:-1]]))
+            g = group[there[start]]
+            words = [_joined(c, start) for c in (_numbers(order[there]), _numbers(before[there]), _numbers(after[there]))]
+            lists = [_joined(c, start) for sizes, ids in ((before, left), (after, right)) for c in _blobs(sizes[there], ids)]
+            return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(half[g].astype(np.int32)), *words, *lists], names=names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 held.append(_unpacked(batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024))[1])
                 if sum(map(len, held)) > _CHUNK:
-                    yield from flush()
+                    yield flush()
         if held:
-            yield from flush()
+            yield flush()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row for neighbouring rows of one word, but for words that lie in many rows anyway."""
+        """One row for the rows of a group, but for words that lie in many rows anyway."""
         held: pa.Table | None = None
 
         def merged(table: pa.Table, start: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array(table["w"].to_numpy()[start])]
-            for name in ("l0", "l1", "r0", "r1"):
-                c = table[name].combine_chunks()
-                c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-                at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-                cut = np.append(at[start], at[-1]).astype(np.int32)
-                columns.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(cut.tobytes()), c.buffers()[2]]))
-            return pa.RecordBatch.from_arrays(columns, names=["w", "l0", "l1", "r0", "r1"])
+            whole = table.combine_chunks().to_batches()[0]
+            firsts = [pa.array(whole.column(i).to_numpy()[start]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*firsts, *(_joined(c, start) for c in whole.columns[2:])], names=names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             now = pa.Table.from_batches([batch])
             table = now if held is None else pa.concat_tables([held, now])
-            w = table["w"].to_numpy()
-            many = (w < n_hot) | (w == n_ids - 1)
-            start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | many[1:]]))
-            if many[-1]:
-                yield merged(table, start)
-                held = None
-                continue
+            g, many = table["g"].to_numpy(), table["half"].to_numpy() > 1
+            start = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | many[1:]]))
             if len(start) > 1:
                 yield merged(table.slice(0, start[-1]), start[:-1])
             held = table.slice(start[-1])
         if held is not None:
             yield merged(held, np.array([0]))
 
-    packed = rows.select("low", "high").mapInArrow(pack, f"w int, {_PACKED}")
-    hot = (F.col("w") < n_hot) | (F.col("w") == n_ids - 1)
-    dealt = packed.withColumn("deal", F.when(hot, -1 - F.pmod(F.xxhash64("l0", "r0"), F.lit(1 << 20))).otherwise(F.col("w"))).repartition("deal").sortWithinPartitions("w")
-    joined = dealt.select("w", "l0", "l1", "r0", "r1").mapInArrow(join, f"w int, {_PACKED}")
-    return scratch.keep(joined.withColumn("half", F.pmod(F.xxhash64("w"), F.lit(2)).cast("int") + F.when(hot, 2).otherwise(0)), "neighbours", "half")
+    packed = rows.select("low", "high").mapInArrow(pack, schema)
+    deal = F.when(F.col("half") > 1, -1 - F.pmod(F.xxhash64("l0", "r0"), F.lit(1 << 20))).otherwise(F.col("g"))
+    dealt = packed.withColumn("deal", deal).repartition("deal").sortWithinPartitions("g").select(*names).mapInArrow(join, schema)
+    return scratch.keep(dealt.select("g", *_PACKED, "half"), "neighbours", "half")
+
+
+def _numbers(values: np.ndarray) -> pa.Array:
+    """Each number as a value of a binary column."""
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(np.arange(0, 4 * len(values) + 1, 4, dtype=np.int32).tobytes()), pa.py_buffer(values.astype(np.int32).tobytes())])
+
+
+def _parts(batch: pa.RecordBatch, low: int) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, with few ids in the column ``low``."""
+    size = np.diff(np.frombuffer(batch.column(low).buffers()[1], np.int32)[batch.column(low).offset :][: batch.num_rows + 1])
+    turn = np.searchsorted(np.cumsum(size), np.arange(0, max(1, size.sum()), _CHUNK))
+    for a, b in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 # -- exchange ---------------------------------------------------------------------
@@ -272,43 +313,42 @@ def _best(m: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, s
     return out
 
 
-def _by_class(ids: np.ndarray, sizes: np.ndarray, of: np.ndarray, k: int) -> np.ndarray:
-    at = np.repeat(np.arange(len(sizes)) * k, sizes)
-    at += of[ids]
-    return np.bincount(at, minlength=len(sizes) * k).reshape(len(sizes), k).astype(float)
-
-
 def _vectors(batch: pa.RecordBatch, of: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Words of rows (w, l0, l1, r0, r1), counts of classes before and after, and of the word itself after itself; some rows at a time."""
-    size = np.diff(np.frombuffer(batch.column(1).buffers()[1], np.int32)[batch.column(1).offset :][: batch.num_rows + 1])
-    turn = np.searchsorted(np.cumsum(size), np.arange(0, max(1, size.sum()), _CHUNK))
-    for a, b in zip(turn.tolist(), [*turn[1:].tolist(), batch.num_rows]):
-        if b > a:
-            part = batch.slice(a, b - a)
-            w = part.column(0).to_numpy().astype(np.int64)
-            (n_left, left), (n_right, right) = _unpacked(part.column(1), part.column(2)), _unpacked(part.column(3), part.column(4))
-            row = np.repeat(np.arange(len(w)), n_right)
-            yield w, _by_class(left, n_left, of, k), _by_class(right, n_right, of, k), np.bincount(row[right == w[row]], minlength=len(w))
-
-
-def _class_pairs(views: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
-    shared = views.sparkSession.sparkContext.broadcast(of)
+    """Words of packed rows, counts of classes before and after them, and of each itself after itself; some rows at a time."""
+    for part in _parts(batch, 3):
+        words, row = np.unique(_flat(part.column(0), np.int32), return_inverse=True)
+        row = row.reshape(-1)
+        found = []
+        for i, low in ((1, 3), (2, 5)):
+            sizes, ids = _flat(part.column(i), np.int32), _unpacked(part.column(low), part.column(low + 1))[1]
+            at = np.repeat(row * k, sizes)
+            if i == 2:
+                same = at[np.repeat(words[row], sizes) == ids] // k
+            at += of[ids]
+            found.append(np.bincount(at, minlength=len(words) * k).reshape(-1, k).astype(float))
+        yield words.astype(np.int64), *found, np.bincount(same, minlength=len(words))
+
+
+def _class_pairs(views: DataFrame, candidates: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Class pair counts under each of some assignments, in one pass."""
+    shared = views.sparkSession.sparkContext.broadcast(candidates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k * k, np.int64)
-        of = shared.value
+        totals = np.zeros((len(shared.value), k * k), np.int64)
         for batch in batches:
-            w = batch.column(0).to_numpy()
-            for at in range(0, len(w), 1024):
-                sizes, ids = _unpacked(batch.column(1).slice(at, 1024), batch.column(2).slice(at, 1024))
-                total += np.bincount(np.repeat(of[w[at : at + 1024]].astype(np.int32) * k, sizes) + of[ids], minlength=k * k)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
-
-    rows = views.select("w", "r0", "r1").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most k x k rows
-    out = np.zeros(k * k)
+            for part in _parts(batch, 2):
+                w, sizes, ids = _flat(part.column(0), np.int32), _flat(part.column(1), np.int32), _unpacked(part.column(2), part.column(3))[1]
+                for total, of in zip(totals, shared.value):
+                    place = np.repeat(of[w].astype(np.int64) * k, sizes)
+                    place += of[ids]
+                    total += np.bincount(place, minlength=k * k)
+        at = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals.ravel()[at])], names=["at", "n"])
+
+    rows = views.select("w", "nr", "r0", "r1").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most k x k rows for each
+    out = np.zeros(len(candidates) * k * k)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return out.reshape(k, k)
+    return list(out.reshape(-1, k, k))
 
 
 def _choices(views: DataFrame, of: np.ndarray, m: np.ndarray, half: int) -> np.ndarray:
@@ -349,9 +389,8 @@ def _choices(views: DataFrame, of: np.ndarray, m: np.ndarray, half: int) -> np.n
         found = result(w, _best(m, of[w].astype(np.int64), dense[:, :k], dense[:, k : 2 * k], dense[:, -1]), of)
         yield {"w": found.column(0), "c": found.column(1)}
 
-    columns = ["w", "l0", "l1", "r0", "r1"]
-    some = views.filter(F.col("half") == half).select(*columns).mapInArrow(light, chosen)
-    many = views.filter((F.col("half") == half + 2) & (F.col("w") < len(of) - 1)).select(*columns).mapInArrow(parts, "w int, slot int, x double")
+    some = views.filter(F.col("half") == half).select(*_PACKED).mapInArrow(light, chosen)
+    many = views.filter(F.col("half") == half + 2).select(*_PACKED).mapInArrow(parts, "w int, slot int, x double")
     many = many.groupBy("w", "slot").agg(F.sum("x").alias("x")).groupBy("w").agg(F.collect_list(F.struct("slot", "x")).alias("slots"))
     rows = some.unionByName(arrow_map(many, whole, chosen)).toArrow()  # at most a row for each kept word
     out = of.copy()
@@ -364,24 +403,27 @@ def exchange(views: DataFrame, n_ids: int, classes: int = CLASSES, rounds: int =
     k = classes + 1
     of = (np.arange(n_ids) % classes).astype(np.uint8)
     of[-1] = classes
-    m = _class_pairs(views, of, k)
-    history, failed = [_likelihood(m)], 0
+    m = _class_pairs(views, [of], k)[0]
+    history, failed, whole = [_likelihood(m)], 0, [True, True]
     for i in range(rounds):
         wanted = _choices(views, of, m, i % 2)
         moved = np.flatnonzero(wanted != of)
         raised = False
-        for share in (1, 2, 4):
-            some = moved[moved * 2654435761 % (1 << 32) >> 16 & (share - 1) == 0]
-            if not len(some):
-                break
-            new = of.copy()
-            new[some] = wanted[some]
-            table = _class_pairs(views, new, k)
-            now = _likelihood(table)
+        # A half whose words could not move together any more does not try to again.
+        for shares in ([(1,)] if whole[i % 2] else []) + [(2, 4)]:
+            tried = []
+            for share in shares:
+                new = of.copy()
+                some = moved[moved * 2654435761 % (1 << 32) >> 16 & (share - 1) == 0]
+                new[some] = wanted[some]
+                tried.append(new)
+            tables = _class_pairs(views, tried, k) if len(moved) else []
+            now, best = max(((_likelihood(t), -j) for j, t in enumerate(tables)), default=(history[-1], 0))
             if now > history[-1]:
-                of, m, raised = new, table, True
+                of, m, raised = tried[-best], tables[-best], True
                 history.append(now)
                 break
+            whole[i % 2] = False
         failed = 0 if raised else failed + 1
         if failed == 2:
             break
@@ -463,7 +505,8 @@ def _tail_classes(rows: DataFrame, codes: np.ndarray, m: np.ndarray) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(best.astype(np.int32))], names=["word", "n", "class"])
 
     found = rows.select("low", "high", "rare").mapInArrow(contexts, "word binary, slots binary")
-    return found.repartition("word").sortWithinPartitions("word").mapInArrow(choose, "word binary, n long, class int")
+    dealt = found.withColumn("h", F.xxhash64("word")).repartition("h").sortWithinPartitions("h", "word")  # numbers first, they sort faster
+    return dealt.select("word", "slots").mapInArrow(choose, "word binary, n long, class int")
 
 
 class Model:
@@ -546,7 +589,7 @@ def _filled(rows: DataFrame, got: DataFrame, codes: np.ndarray, classes: int, al
     """Rows with the codes of all tokens (seq), n_known, base_score and log_n (sum of log10 of the counts).
 
     ``got`` (row, i, n, class) are the words beyond the kept ones that were found; those that were not get the code
-    of the unseen. A row and its words come together by a shuffle, the row first.
+    of the unseen. A row and its words come together by a shuffle.
     """
     columns = ["doc_id", "train", "n_tokens", "base_own", "log_own"]
     shared = rows.sparkSession.sparkContext.broadcast(codes)
@@ -559,20 +602,23 @@ def _filled(rows: DataFrame, got: DataFrame, codes: np.ndarray, classes: int, al
 
     kinds = "doc_id long, train boolean, n_tokens long, base_own double, log_own double"
     coded = arrow_map(rows.select("low", "high", "row", *columns), code, f"row long, seq binary, {kinds}", 1024)
+    # 4096 rows of one task that wrote them make a bucket; their words travel as one list.
+    bucket = F.shiftright("row", 12).alias("bucket")
     code_of = F.col("class") + F.when(F.col("n") == 1, _ONCE).otherwise(0)
-    both = coded.withColumns({"i": F.lit(-1), "n": F.lit(0).cast("long"), "code": F.lit(0)}).unionByName(got.select("row", "i", "n", code_of.cast("int").alias("code")), allowMissingColumns=True)
+    told = F.struct("row", "i", "n", code_of.cast("int").alias("code"))
+    both = coded.select("*", bucket).unionByName(got.groupBy(bucket).agg(F.collect_list(told).alias("found")), allowMissingColumns=True)
 
     def filled(table: pa.Table) -> pa.RecordBatch:
-        i, n, code = (table[c].to_numpy() for c in ("i", "n", "code"))
-        own = i < 0
-        docs = table.filter(pa.array(own)).combine_chunks().to_batches()[0]
+        docs = table.filter(pc.is_valid(table["row"])).sort_by("row").combine_chunks().to_batches()[0]
+        told = table["found"].combine_chunks().flatten().flatten()
+        row, i, n, code = (c.to_numpy(zero_copy_only=False) for c in told)
         seq, _, start = _sequences(docs.column("seq"), 0)
-        seq, d = seq.copy(), (np.cumsum(own) - 1)[~own]
+        seq, d = seq.copy(), np.searchsorted(docs.column("row").to_numpy(), row)
         spot = np.flatnonzero(seq == _UNKNOWN)
         seq[spot] = classes
         first = np.searchsorted(spot, np.append(start, len(seq)))
-        seq[spot[first[d] + i[~own]]] = code[~own]
-        n = n[~own].astype(float)
+        seq[spot[first[d] + i]] = code
+        n = n.astype(float)
         found, base, log_n = (np.bincount(d, w, minlength=docs.num_rows) for w in (None, np.log10((n + 1) / all_of), np.log10(n)))
         unseen = np.diff(first) - found
         offsets = np.append(start, len(seq)).astype(np.int32)
@@ -583,19 +629,20 @@ def _filled(rows: DataFrame, got: DataFrame, codes: np.ndarray, classes: int, al
         return pa.RecordBatch.from_arrays(out, names=["seq", "doc_id", "train", "n_tokens", "n_known", "base_score", "log_n"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None  # the last row and its words so far
+        held: pa.Table | None = None  # what has come of the last bucket so far
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            turn = np.flatnonzero(table["i"].to_numpy() < 0)
-            last = int(turn[-1]) if len(turn) else 0
-            if last:
-                yield filled(table.slice(0, last))
-            held = table.slice(last)
-        if held is not None and held.num_rows:
+            at = table["bucket"].to_numpy()
+            for a, b in zip(turn := [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist()], turn[1:]):
+                yield filled(table.slice(a, b - a))
+            held = table.slice(turn[-1])
+        if held is not None:
             yield filled(held)
 
     schema = "seq binary, doc_id long, train boolean, n_tokens long, n_known long, base_score double, log_n double"
-    return both.repartition("row").sortWithinPartitions("row", "i").mapInArrow(fill, schema)
+    return both.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(fill, schema)
 
 
 def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: int = MOST_WORDS, longest_word: int = LONGEST_WORD, rounds: int = ROUNDS, light: int = LIGHT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -622,8 +669,9 @@ def score(docs: DataFrame, train: Column, classes: int = CLASSES, most_words: in
     first = int(codes[[w for w, _ in kept].index(END)]) if kept else classes
     # Words beyond the kept ones: their counts and classes come by a join on the words.
     tail = scratch.keep(_tail_classes(learn, codes, m), "tail")
-    rare = rows.select("row", F.posexplode("rare").alias("i", "word"))
-    got = join_heavy(rare, tail, ["word"], tail.filter(F.col("n") * HEAVY > total))
+    hashed = lambda d: d.withColumn("h", F.xxhash64("word"))
+    rare, tail = hashed(rows.select("row", F.posexplode("rare").alias("i", "word"))), hashed(tail)
+    got = join_heavy(rare, tail, ["h", "word"], tail.filter(F.col("n") * HEAVY > total))
     full = scratch.keep(_filled(rows, got, codes, classes, total + types + 1), "full")
     model = spark.sparkContext.broadcast(Model(*_final_counts(full, classes, first)))
 

@@ -151,7 +151,7 @@ def plain_exchange(seqs, n_ids, classes, rounds, half_of):
     of = np.arange(n_ids) % classes
     of[-1] = classes
     m = class_pairs(seqs, of, k)
-    history, failed = [class_lm._likelihood(m)], 0
+    history, failed, whole = [class_lm._likelihood(m)], 0, [True, True]
     for i in range(rounds):
         wanted = of.copy()
         for w in range(n_ids - 1):
@@ -165,17 +165,19 @@ def plain_exchange(seqs, n_ids, classes, rounds, half_of):
                     wanted[w] = int(np.argmax(np.round(gains, 6)))
         moved = np.flatnonzero(wanted != of)
         raised = False
-        for share in (1, 2, 4):
-            some = [w for w in moved if ((int(w) * 2654435761 % 2**32) >> 16) & (share - 1) == 0]
-            if not some:
-                break
-            new = of.copy()
-            new[some] = wanted[some]
-            now = class_lm._likelihood(class_pairs(seqs, new, k))
-            if now > history[-1]:
+        for shares in [(1,), (2, 4)] if whole[i % 2] else [(2, 4)]:
+            tried = []
+            for share in shares:
+                new = of.copy()
+                some = [w for w in moved if ((int(w) * 2654435761 % 2**32) >> 16) & (share - 1) == 0]
+                new[some] = wanted[some]
+                tried.append((class_lm._likelihood(class_pairs(seqs, new, k)), -share, new))
+            now, _, new = max(tried, key=lambda x: x[:2])
+            if now > history[-1] + 1e-9:
                 of, raised = new, True
                 history.append(now)
                 break
+            whole[i % 2] = False
         failed = 0 if raised else failed + 1
         if failed == 2:
             break
@@ -194,8 +196,8 @@ def test_exchange_against_brute_force(spark, light):
     kept = class_lm._kept_words(class_lm._counts(df, "text"), 1000, 64)
     ids = {w: i for i, (w, _) in enumerate(kept)}
     views = neighbours(spark, df, kept, light)
-    half_of = {r.w: r.half % 2 for r in views.select("w", "half").collect()}
-    assert any(r.half > 1 for r in views.select("half").collect()) == (light == 20)
+    half_of = {w: r.half % 2 for r in views.select("w", "half").collect() for w in np.frombuffer(r.w, np.int32).tolist()}
+    assert any(r.half in (2, 3) for r in views.select("half").collect()) == (light == 20)
     of, m, history = class_lm.exchange(views, len(kept) + 1, 4, 8)
     seqs = [[ids[class_lm.END], *(ids[w] for w in toks(t))] for t in texts]
     want, likelihoods = plain_exchange(seqs, len(kept) + 1, 4, 8, half_of)
