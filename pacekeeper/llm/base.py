@@ -1,16 +1,14 @@
-"""Shared plumbing: input tables, the cluster's shared scratch folder, Arrow helpers."""
+"""Shared plumbing: input tables, joins that split heavy keys, a membership filter of fixed size, Arrow helpers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
+from pacekeeper.sources.scratch import Scratch
+
 #: A key is heavy if over one in HEAVY of all rows have it, so there are fewer than HEAVY of them.
 HEAVY = 1000
 _SIEVE_BITS = 24
@@ -20,51 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read; a local one only where the session names none."""
-    found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pacekeeper-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; an executor lost later costs no recomputation."""
-
-    _open: list["Scratch"] = []
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/pacekeeper-{name}-{uuid.uuid4().hex}"
-        Scratch._open.append(self)
-
-    def keep(self, df: DataFrame, name: str, *parts: str) -> DataFrame:
-        """``df`` as written; the columns ``parts``, which come last in it, become folders, so that a filter on them reads no other rows."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").partitionBy(*parts).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """Deletes a table that no live frame reads any more."""
-        _delete(self.spark, f"{self.root}/{name}")
-
-
-@atexit.register
-def _sweep() -> None:
-    for s in Scratch._open:
-        try:
-            if s.spark.sparkContext._jsc is not None:
-                _delete(s.spark, s.root)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            pass
-
-
 def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFrame) -> DataFrame:
     """Inner join in which no heavy key comes to one task.
 
@@ -76,19 +29,20 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: list[str], heavy: DataFr
     return some.unionByName(left.join(names, keys, "left_anti").join(right.join(names, keys, "left_anti"), keys))
 
 
-def sieve(df: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """``df`` in two parts: rows whose 64-bit hash ``column`` may be among ``keys``, and rows whose is not.
+def sieve(df: DataFrame, keys: DataFrame, column: str, own: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two parts: rows whose 64-bit hash ``own`` may be in the ``column`` of ``keys`` (of the same name by default), and rows whose is not.
 
     The table of 2^24 bits (at most 2^18 rows of 64 bits) has one size whatever the data; it lets some
     rows through in vain and none out.
     """
-    spot = F.col(column).bitwiseAND(F.lit((1 << _SIEVE_BITS) - 1))
-    bit = F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")
-    words = keys.select(F.shiftright(spot, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    words = F.broadcast(Scratch(df.sparkSession, "sieve").keep(words, "words"))
-    told = df.withColumn("_word", F.shiftright(spot, 6)).join(words, "_word", "left").drop("_word")
-    hit = F.coalesce(F.col("_bits"), F.lit(0).cast("long")).bitwiseAND(bit) != 0
-    return told.filter(hit).drop("_bits"), told.filter(~hit).drop("_bits")
+    word = lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << _SIEVE_BITS) - 1)), 6).alias("__pk_word")
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(`{c}` & 63 as int))")
+    words = keys.select(word(column), bit(column).alias("_bit")).groupBy("__pk_word").agg(F.bit_or("_bit").alias("__pk_bits"))
+    words = Scratch(df.sparkSession, "sieve").keep(words, "words")
+    own = own or column
+    told = df.withColumn("__pk_word", word(own)).join(F.broadcast(words), "__pk_word", "left")
+    hit = F.coalesce(F.col("__pk_bits"), F.lit(0).cast("long")).bitwiseAND(bit(own)) != 0
+    return told.filter(hit).select(*df.columns), told.filter(~hit).select(*df.columns)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, max_rows: int = 2048) -> DataFrame:
@@ -99,6 +53,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], sch
             for at in range(0, batch.num_rows, max_rows):
                 for columns in fn(batch.slice(at, max_rows)):
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=list(columns))
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

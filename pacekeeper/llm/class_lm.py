@@ -14,7 +14,7 @@ once do (Good-Turing), and what follows it is what follows them. Probabilities a
 
 What a task holds is bounded by parameters: ``most_words`` words of at most ``longest_word`` bytes
 with their classes, and classes x classes counts. The exchange reads, for each word, the packed ids
-of its neighbours: three bytes for each, in rows of about a million; words of over ``light``
+of its neighbours: three bytes for each, in rows of about half a million; words of over ``light``
 neighbours lie in many rows and tasks, and their counts by class are added up by a shuffle. The
 classes of the tail are a table that meets the tokens by a join.
 
@@ -37,7 +37,7 @@ from pacekeeper.llm.base import HEAVY, Scratch, arrow_map, join_heavy
 
 CLASSES, MOST_WORDS, LONGEST_WORD, ROUNDS, LIGHT = 48, 1 << 17, 128, 10, 1 << 17
 END = b"\n"  # no word holds white space
-_CHUNK = 3_000_000
+_CHUNK, _COUNTED = 1_000_000, 3_000_000  # neighbours and words held at a time
 _BUCKETS = 16  # of the logarithm of a count
 _RANGES = 256  # of a word's hash
 _UNKNOWN, _ONCE = 255, 128  # codes of tokens: no class yet; flag of words seen once
@@ -67,8 +67,9 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
             for at in range(0, batch.num_rows, 4096):
                 held.append(words(batch.column(0).slice(at, 4096))[0])
                 texts += min(4096, batch.num_rows - at)
-                if sum(map(len, held)) > _CHUNK:
+                if sum(map(len, held)) > _COUNTED:
                     yield flush()
+                    pa.default_memory_pool().release_unused()
         if held:
             yield flush()
         if texts:
@@ -152,7 +153,7 @@ def _joined(column: pa.Array, start: np.ndarray) -> pa.Array:
 def _groups(n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     """Group and half of each id from the counts in falling order (the last id, the tail, is on its own in half 4).
 
-    Words of one half and about one count make a group of at most 256 words and about a million neighbours. Words
+    Words of one half and about one count make a group of at most 256 words and about half a million neighbours. Words
     of over ``light`` neighbours have a group each, of half 2 or 3.
     """
     ids = np.arange(len(n), dtype=np.uint64)
@@ -162,7 +163,7 @@ def _groups(n: np.ndarray, light: int) -> tuple[np.ndarray, np.ndarray]:
     name[-1, 0] = 4
     for h in (0, 1):
         mine = np.flatnonzero((half == h) & (n <= light))
-        name[mine, 1], name[mine, 2] = np.cumsum(n[mine]) // 1_000_000, np.arange(len(mine)) // 256
+        name[mine, 1], name[mine, 2] = np.cumsum(n[mine]) // (_CHUNK // 2), np.arange(len(mine)) // 256
     hot = np.flatnonzero(n > light)
     name[hot, 3] = hot
     found, group = np.unique(name, axis=0, return_inverse=True)
@@ -208,6 +209,7 @@ def _neighbours(rows: DataFrame, kept: list[tuple[bytes, int]], scratch: Scratch
                 held.append(_unpacked(batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024))[1])
                 if sum(map(len, held)) > _CHUNK:
                     yield flush()
+                    pa.default_memory_pool().release_unused()
         if held:
             yield flush()
 
@@ -462,7 +464,7 @@ def _tail_classes(rows: DataFrame, codes: np.ndarray, m: np.ndarray) -> DataFram
                     before = of[ids[spot - 1]]
                     around.append(np.stack([before, of[ids[spot + 1]]], axis=1).astype(np.uint8))
                     found.append(part.column(2).flatten())
-            if sum(map(len, found)) > _CHUNK // 4:
+            if sum(map(len, found)) > _CHUNK // 2:
                 yield flush()
         if found:
             yield flush()

@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pacekeeper.llm.base import Scratch, arrow_map, utf8
+from pacekeeper.llm.base import Scratch, arrow_map, sieve, utf8
 
 WINDOW, BLOCK_WORDS = 10, 400_000
 #: Word bytes are 0-9, a-z and everything beyond ASCII; A-Z are lower-cased, the rest separates.
@@ -273,15 +273,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, most_hits: int = 0, most_sh
     scratch = Scratch(docs.sparkSession, "decontaminated")
     found = scratch.keep(contamination(docs, items, key, text, window=window).filter(F.col("n_hit") > most_hits).select(F.col("doc_id").alias("__pk_id"), F.col("text_hash").alias("__pk_hash"), F.col("spans").alias("__pk_spans"), (F.col("n_hit") > most_share * F.col("n_words")).alias("__pk_gone")).dropDuplicates(["__pk_id", "__pk_hash"]), "found")
     told = docs.withColumn("__pk_text_hash", F.xxhash64(text))
-    joined = told.join(found, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (F.col("__pk_text_hash") == F.col("__pk_hash")), "left")
+    some, rest = sieve(told, found, "__pk_hash", "__pk_text_hash")
+    on = F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (F.col("__pk_text_hash") == F.col("__pk_hash"))
 
     @F.udf("string", useArrow=True)
-    def cut(body: str | None, spans: list | None) -> str | None:
-        return body if not spans or body is None else strip_spans(body.encode(), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
+    def cut(body: str, spans: list) -> str:
+        return strip_spans(body.encode(), [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
 
-    left = joined.filter(~F.coalesce("__pk_gone", F.lit(False)))
-    hit = F.col("__pk_spans").isNotNull()
-    out = left.withColumn(text, F.when(hit, cut(F.col(text), F.col("__pk_spans"))).otherwise(F.col(text)))
+    hit = some.join(found.filter("not __pk_gone"), on).withColumn(text, cut(F.col(text), F.col("__pk_spans")))  # Python sees these rows only
     if length is not None:
-        out = out.withColumn(length, F.when(hit, F.length(text).cast(docs.schema[length].dataType)).otherwise(F.col(length)))
-    return out.select(*names)
+        hit = hit.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
+    out = rest.select(*names).unionByName(some.join(found, on, "left_anti").select(*names))
+    return out.unionByName(hit.select(*names))

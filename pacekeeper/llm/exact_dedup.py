@@ -4,7 +4,8 @@ A text is cut where a rolling hash of its own last 32 bytes says so. Each distin
 moved once, under a 128-bit identifier, and verified: should two different byte strings
 meet under one identifier, all identifiers are lengthened by the chunk's SHA-256 and
 verified again. A document is then the ordered list of its identifiers (16 bytes for about
-2 KB of text); documents are grouped by these recipes, and no whole text is shuffled.
+2 KB of text); documents are grouped by these recipes. What moves is one copy of each distinct
+chunk, which for texts without repeats is all of their bytes once, and never a text as a whole.
 
 Edge cases: a null text is the empty text, whose recipe is empty. Of equal texts the row
 with the largest doc_id stays; a null doc_id is smaller than any other; among repeated rows

@@ -6,8 +6,9 @@ shard moves about weight/total of the rows and none between old shards.
 
 Slots number the rows of a shard 0, 1, 2 ... without a single-task sort: each shard is
 cut into ``buckets`` hash ranges, the row counts of (shard, bucket) give every bucket its
-first slot, and rows are numbered inside buckets only. The table of counts has at most
-shards x buckets rows, which bounds the broadcast.
+first slot, and rows are numbered inside buckets only. By default there are as many buckets
+as leave about 100,000 rows in each, between 256 and 16,384; the slots do not depend on it.
+The table of counts has at most shards x buckets rows, which bounds the broadcast.
 
 Edge cases: a null key is the key "null"; null text counts no bytes (crc32 0); rows with
 one key go to one shard by law, but their slots are spread over buckets by key, text
@@ -23,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 DIGITS = 13  # hex digits of an MD5: 52 bits, exact in a double
-BUCKETS = 256
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 256, 16384, 100_000
 
 
 def _draw(*parts: Column) -> Column:
@@ -44,12 +45,14 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (F.least(*costs) if len(costs) > 1 else costs[0])["shard"]
 
 
-def assign_shards(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def assign_shards(docs: DataFrame, weights: Sequence[float], grown_weight: float = 1.0, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """key, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     grown = [*weights, grown_weight]
     n = len(weights)
+    if buckets is None:  # a power of two
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (docs.count() // (n * BUCKET_ROWS)).bit_length()))
     rows = docs.select(F.col(key).alias("doc_id"), (F.octet_length(body).cast("long") + 8).alias("size"), F.crc32(body).alias("text_crc32"), name.alias("_key"))
     costs = F.array(*[_cost(F.col("_key"), i, w) for i, w in enumerate(grown)])
     rows = rows.withColumn("_costs", costs)

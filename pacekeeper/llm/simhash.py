@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from pacekeeper.llm.base import Scratch, arrow_map, utf8
+from pacekeeper.operators.graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 _SHIFTS = np.arange(64, dtype=np.uint64)
@@ -88,43 +89,12 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, seed: int = 1) -> DataFrame:
-    """node, root for every node of the edges (a, b).
-
-    Contraction: each round a node joins the neighbour of least random priority (itself
-    included), parents are jumped once, edges are renamed and deduplicated. A round leaves
-    a constant fraction of the nodes in expectation, so rounds grow as the logarithm.
-    """
-    edges = scratch.keep(edges, "edges0")
-    labels = None
-    k = 0
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = F.xxhash64("b", F.lit(seed + k))
-        nearest = both.groupBy("a").agg(F.min_by("b", rank).alias("b"), F.min(rank).alias("r"))
-        parent = nearest.select(F.col("a").alias("node"), F.when(F.col("r") < F.xxhash64("a", F.lit(seed + k)), F.col("b")).otherwise(F.col("a")).alias("up"))
-        parent = scratch.keep(parent, f"parent{k}")
-        jumped = parent.alias("p").join(parent.alias("q"), F.col("p.up") == F.col("q.node")).select(F.col("p.node").alias("node"), F.col("q.up").alias("up"))
-        jumped = scratch.keep(jumped, f"jumped{k}")
-        renamed = edges.join(jumped.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(jumped.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
-        renamed = renamed.filter("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
-        if labels is None:
-            labels = jumped.select("node", F.col("up").alias("root"))
-        else:
-            later = jumped.select(F.col("node").alias("root"), F.col("up").alias("next"))
-            labels = labels.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        labels = scratch.keep(labels, f"labels{k}")
-        edges = scratch.keep(renamed, f"edges{k + 1}")
-        k += 1
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable) for every row."""
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, key, text, width), "rows")
     fps = scratch.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
-    roots = components(links(fps, radius), scratch)
+    roots = components(links(fps, radius))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of = scratch.keep(named.join(least, "root").select("fp", "root", "component_id"), "of")

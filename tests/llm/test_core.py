@@ -12,7 +12,6 @@ import xxhash
 from tokenizers import Tokenizer
 
 from pacekeeper.llm import bpe, decontaminate, exact_dedup, langid, sharding, simhash
-from pacekeeper.llm.base import Scratch
 from pacekeeper.llm.queries import fold, vocabulary_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -147,7 +146,7 @@ def test_links_join_what_lies_near(spark, radius):
     seeds = [rng.getrandbits(64) for _ in range(8)]
     fps = list({s ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(5))) & (2**64 - 1) for s in seeds for _ in range(12)})
     df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
-    got = simhash.components(simhash.links(df, radius), Scratch(spark, "t")).collect()
+    got = simhash.components(simhash.links(df, radius)).collect()
     root = {r.node % 2**64: r.root for r in got}
     want = slow_components(range(len(fps)), fps, radius)
     classes = {}
@@ -158,7 +157,7 @@ def test_links_join_what_lies_near(spark, radius):
 
 def test_components_of_a_long_path(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
-    assert len({r.root for r in simhash.components(df, Scratch(spark, "t")).collect()}) == 1
+    assert len({r.root for r in simhash.components(df).collect()}) == 1
 
 
 def test_near_copies_keep_one(spark):
