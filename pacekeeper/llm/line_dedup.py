@@ -195,11 +195,10 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES, key: str = "doc_id", t
     heavy = marks.filter((F.col("copies") > 1) & (F.col("copies") * HEAVY > docs.count())).select("t0", "t1", F.col("first").alias("heavy_first"))
     some = some.join(F.broadcast(heavy), ["t0", "t1"], "left")
     many = F.coalesce(F.col("doc") != F.col("heavy_first"), F.lit(False))
-    few = some.filter(~many).join(marks.select("t0", "t1", "first", "runs"), ["t0", "t1"], "left")
-    copy = F.coalesce(F.col("doc") != F.col("first"), F.lit(False))
-    marked = F.coalesce(F.size("runs") > 0, F.lit(False))
-    cut = few.filter(~copy & marked).select("doc_id", "text", "runs")
-    # Texts that stay or go whole need no Python.
+    # One shuffle for all of them, at every size: a join that is a broadcast while the marks are few would move texts from some size on only.
+    few = some.filter(~many).join(marks.select("t0", "t1", "first", "runs").hint("merge"), ["t0", "t1"], "left")
+    few = few.select("doc_id", "text", F.coalesce(F.col("doc") != F.col("first"), F.lit(False)).alias("copy"), "runs")
+    # Of the others those that stay or go whole need no Python.
     body, lines = F.coalesce("text", F.lit("")), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     n_lines = F.coalesce(lines, F.lit(1)).cast("long")
     enough = (n_lines >= least) | (F.size(F.regexp_extract_all(body, F.lit(_WORDS), F.lit(0))) >= least_words)
@@ -208,15 +207,17 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES, key: str = "doc_id", t
         kept = F.when(gone, "").otherwise(body)
         return df.select("doc_id", n_lines.alias("n_lines"), F.when(gone, n_lines).otherwise(F.lit(0).cast("long")).alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_runs"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"), kept.alias("kept_text"))
 
-    parts = [whole(rest, F.lit(False)), whole(some.filter(many), enough), whole(few.filter(copy), enough), whole(few.filter(~copy & ~marked), F.lit(False))]
+    parts = [whole(rest, F.lit(False)), whole(some.filter(many), enough)]
 
     def finish(batch: pa.RecordBatch):
         rows = []
-        for t, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for t, copy, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
             lines = (t or "").split("\n")
+            if copy:  # every window of it has an earlier copy
+                runs = [{"line": 0, "lines": len(lines)}] if len(lines) >= least or len((t or "").encode().split()) >= least_words else []
             gone = bytearray(len(lines))
             n_runs, end = 0, -1
-            for r in sorted(runs, key=lambda r: r["line"]):
+            for r in sorted(runs or (), key=lambda r: r["line"]):
                 a, b = r["line"], r["line"] + r["lines"]
                 n_runs += a > end
                 end = max(end, b)
@@ -227,5 +228,5 @@ def line_dedup(docs: DataFrame, least: int = LEAST_LINES, key: str = "doc_id", t
         names = (("n_lines", pa.int64()), ("n_removed", pa.int64()), ("n_runs", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()))
         yield {"doc_id": batch.column(0), **{k: pa.array(c, kind) for (k, kind), c in zip(names, columns)}}
 
-    out = arrow_map(cut, finish, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string, kept_text string", 512)
+    out = arrow_map(few, finish, "doc_id long, n_lines long, n_removed long, n_runs long, kept_sha256 string, kept_text string", 512)
     return reduce(DataFrame.unionByName, parts, out)

@@ -333,9 +333,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, key:
     some, rest = sieve(plain, hit, "t1")
     heavy = F.broadcast(hit.filter((F.col("copies") > 1) & (F.col("copies") * HEAVY > docs.count())).select("t1", "t2"))
     many = some.join(heavy, ["t1", "t2"], "left_semi")
-    few = some.join(heavy, ["t1", "t2"], "left_anti").join(hit, ["t1", "t2"], "left")
-    cut = few.filter("spans is not null").select("doc_id", "text", "spans")
-    # Texts that stay or go whole need no Python.
+    few = some.join(heavy, ["t1", "t2"], "left_anti").join(hit.select("t1", "t2", "spans").hint("merge"), ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    # Of the others those that stay or go whole need no Python.
     body = F.coalesce("text", F.lit("")).cast("binary")
     size = F.octet_length(body).cast("long")
 
@@ -343,13 +342,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, key:
         kept = F.lit(b"") if gone else body
         return df.select("doc_id", size.alias("n_bytes"), (size if gone else F.lit(0).cast("long")).alias("n_removed"), F.lit(int(gone)).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"), kept.alias("kept"))
 
-    parts = [whole(rest, False), whole(many, True), whole(few.filter("spans is null"), False)]
+    parts = [whole(rest, False), whole(many, True)]
 
     def finish(batch: pa.RecordBatch):
         rows = []
         for t, spans in zip(utf8(batch.column(1)), batch.column(2).to_pylist()):
             out, at, gone, runs = [], 0, 0, 0
-            for s in sorted(spans, key=lambda s: s["a"]):
+            for s in sorted(spans or (), key=lambda s: s["a"]):
                 a, b = s["a"], s["b"] + length - 1
                 if a > at or not runs:
                     runs += 1
@@ -365,5 +364,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, most: int = MOST, key:
         names = (("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()))
         yield {"doc_id": batch.column(0), **{k: pa.array(c, kind) for (k, kind), c in zip(names, columns)}}
 
-    out = arrow_map(cut, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", 256)
+    out = arrow_map(few, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", 256)
     return reduce(DataFrame.unionByName, parts, out)

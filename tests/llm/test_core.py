@@ -200,9 +200,10 @@ def test_automaton_matches_brute_force(seed):
 def test_contamination_blocks(spark, block):
     rng = random.Random(3)
     item = [" ".join(rng.choices(["aa", "bb", "cc", "dd"], k=n)) for n in (1, 4, 12, 60, 0)] + [None]
-    items = spark.createDataFrame([(i, t) for i, t in enumerate(item)] + [(None, "solo")], "item_id long, text string")
+    again = [(2, "aa aa bb bb cc cc dd dd aa bb cc dd"), (2, "e x aa bb cc dd e e e e e e e e e e e e")]  # items that share an id
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(item)] + [(None, "solo"), *again], "item_id long, text string").selectExpr("*", "'c' as spans", "1 as text_key")
     texts = [" ".join(rng.choices(["aa", "bb", "cc", "dd", "e"], k=rng.randrange(30))) + " x " + rng.choice([t for t in item if t]) for _ in range(40)] + ODD + ["Solo!"]
-    seqs = [(str(i), decontaminate.words((t or "").encode())) for i, t in enumerate(item)] + [("null", [b"solo"])]
+    seqs = [(str(i), decontaminate.words((t or "").encode())) for i, t in enumerate(item)] + [("null", [b"solo"])] + [(str(i), decontaminate.words(t.encode())) for i, t in again]
     for r in decontaminate.contamination(frame(spark, texts), items, block_words=block).collect():
         seq = decontaminate.words((texts[r.doc_id] or "").encode())
         hit, names = slow_hits(seq, seqs, 10)
@@ -240,6 +241,13 @@ def test_bpe_equals_library(spark):
     assert bpe.encode(frame(spark, []), vocabulary_path()).count() == 0
 
 
+def test_bpe_of_repeated_rows_and_other_columns(spark):
+    df = frame(spark, ["a bc", "a bc", None]).withColumn("doc_id", langid.F.lit(7).cast("long")).selectExpr("*", "'x' as ids", "1 as n_tokens", "2 as row")
+    rows = bpe.token_digests(df, vocabulary_path()).collect()
+    assert [r.doc_id for r in rows] == [7, 7, 7] and sorted(r.n_tokens for r in rows)[0] == 0 and len({r.ids_sha256 for r in rows}) == 2
+    assert bpe.round_trip(df, vocabulary_path()).count() == 3
+
+
 # -- language ID ------------------------------------------------------------
 
 

@@ -10,12 +10,28 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from pacekeeper.llm import decontaminate
 from pacekeeper.llm.queries import vocabulary_path
-from tests.llm.test_core import DOC, slow_components, slow_fingerprint, slow_hits
+from tests.llm.test_core import DOC, slow_hits
 
 SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+def similar_components(rows):
+    """Least doc_id of the texts that hang together by 0.8 of their five-word shingles, for rows (doc_id, text) in order."""
+    sets = []
+    for _, t in rows:
+        w = t.encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    of = {d: d for d, _ in rows}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((of[rows[i][0]], of[rows[j][0]]))
+                of = {d: x if c == y else c for d, c in of.items()}
+    return of
+
+
 def plain_pipeline(rows, items):
     """doc_id -> text before encoding, over rows (doc_id, text)."""
     rows = [(d, t) for d, t in rows if t and any(map(str.isalpha, t))]
@@ -23,8 +39,8 @@ def plain_pipeline(rows, items):
     for d, t in rows:
         last[t] = max(last.get(t, d), d)
     rows = sorted((d, t) for t, d in last.items())
-    comp = slow_components([d for d, _ in rows], [slow_fingerprint(t) for _, t in rows], 2)
-    rows = [r for r, c in zip(rows, comp) if r[0] == c]
+    comp = similar_components(rows)
+    rows = [r for r in rows if comp[r[0]] == r[0]]
     seqs = [(str(i), decontaminate.words((t or "").encode())) for i, t in items]
     out = {}
     for d, t in rows:

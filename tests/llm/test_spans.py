@@ -5,9 +5,11 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pacekeeper.llm import line_dedup, secrets, substring_dedup
 from pacekeeper.llm.base import Scratch
@@ -205,3 +207,20 @@ def test_base_spans(spark):
         assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(w[3] == k for w in want) for k in secrets.BASE_KINDS)
         assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
     assert rows[0].n_assign == 1 and secrets.scan(frame(spark, [])).count() == 0
+
+
+def test_secrets_of_repeated_rows_and_other_columns(spark):
+    df = frame(spark, ["token=abcdefghijklmnop"] * 3).withColumn("doc_id", F.lit(4).cast("long")).selectExpr("*", "'x' as spans", "1 as n_hex", "2 as kind")
+    rows = secrets.scan(df).collect()
+    assert len(rows) == 3 and len({tuple(r) for r in rows}) == 1 and rows[0].n_assign == 1
+
+
+def test_long_candidates_take_time_in_proportion():
+    def seconds(n):
+        text = "token=" + base64.b64encode(bytes(i * 7 % 256 for i in range(n))).decode() + " " + "ab" * n + " " + "eyJ" * n
+        began = time.process_time()
+        list(secrets.confirmed_spans(text))
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(400_000) < 20 * seconds(40_000) + 0.5
