@@ -45,8 +45,11 @@ def sieve(df: DataFrame, keys: DataFrame, column: str, own: str | None = None) -
     return told.filter(hit).select(*df.columns), told.filter(~hit).select(*df.columns)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, max_rows: int = 2048) -> DataFrame:
-    """mapInArrow over slices of at most ``max_rows`` rows; ``fn`` yields dicts of columns in the order of ``schema``."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, max_rows: int = 2048, ended: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over slices of at most ``max_rows`` rows; ``fn`` yields dicts of columns in the order of ``schema``.
+
+    ``ended`` is called at the end of a task: its worker lives on, and what it holds counts against the tasks to come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,6 +57,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[dict]], sch
                 for columns in fn(batch.slice(at, max_rows)):
                     yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=list(columns))
             pa.default_memory_pool().release_unused()
+        if ended is not None:
+            ended()
 
     return df.mapInArrow(run, schema)
 

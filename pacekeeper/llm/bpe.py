@@ -87,6 +87,10 @@ class Bpe:
         self.last = [self.vocab.get(c + self.end) for c in letters]
         longest_first = sorted(self.special, key=len, reverse=True)
         self.marks = re.compile("|".join(map(re.escape, longest_first))) if longest_first else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of words and pieces."""
         self._words, self._pieces = _Recent(MOST_CACHED_WORDS), _Recent(MOST_CACHED_WORDS)
 
     def merge(self, piece: str) -> list[int]:
@@ -198,7 +202,7 @@ def _map(docs: DataFrame, vocabulary: str, names: list[str], schema: str, fn) ->
     def run(batch: pa.RecordBatch):
         yield fn(_loaded(source.value), batch)
 
-    return arrow_map(docs.select(*names), run, schema, 512)
+    return arrow_map(docs.select(*names), run, schema, 512, lambda: _loaded(source.value).forget())
 
 
 def token_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
