@@ -12,7 +12,7 @@ import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pacekeeper.functions.bins import bin_index, bin_name
 from pacekeeper.functions.text import code_hash
@@ -68,9 +68,9 @@ def replenish(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target
     if need <= 0:
         return candidates.limit(0)
     fresh = drop_known(candidates, kept.select(src, tgt).unionByName(removed.select(src, tgt)), src, tgt)
-    h = draw(F.col(key), seed)
-    same = W.partitionBy(code_hash(src), code_hash(tgt)).orderBy("_h", key)
-    fresh = fresh.withColumn("_h", h).withColumn("_copy", F.row_number().over(same)).filter("_copy = 1")
+    fresh = fresh.withColumns({"_h": draw(F.col(key), seed), "_src": code_hash(src), "_tgt": code_hash(tgt)})
+    one = fresh.groupBy("_src", "_tgt").agg(F.min(F.struct("_h", F.col(key).alias("_k")))["_k"].alias(key))  # of equal contents one, aggregated and not brought together
+    fresh = fresh.join(one, ["_src", "_tgt", key], "left_semi").drop("_src", "_tgt")
     counts = kept.groupBy(problem).agg(F.count("*").alias("_c"))
     placed = fresh.select(bin_col, problem, key, "_h").join(counts, problem, "left").withColumn("_c", F.coalesce("_c", F.lit(0)) if balanced else F.lit(0))
     inside = number_in_groups(placed, [bin_col, problem], ["_h", key], "_r") if balanced else placed.withColumn("_r", F.lit(0))
@@ -86,7 +86,7 @@ def replenish(kept: DataFrame, removed: DataFrame, candidates: DataFrame, target
         yield pd.DataFrame({key: pd.Series(got, dtype="object"), "_place": range(len(got))})
 
     chosen = few.select(bin_col, problem, key, "_c", "_o").repartition(1).mapInPandas(run, f"{key} {kinds[key]}, _place long")
-    return fresh.drop("_h", "_copy").join(chosen, key).orderBy("_place").drop("_place")
+    return fresh.drop("_h").join(chosen, key).orderBy("_place").drop("_place")
 
 
 def with_bin(df: DataFrame, bins: Sequence[float], name: str = "bin") -> DataFrame:
