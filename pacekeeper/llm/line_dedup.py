@@ -129,7 +129,8 @@ def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch, name: str) -> Da
         fixes.append([r["pid"], base, *first, goes_on, high["at"], False])
         before = ([high[k] for k in names], first if high["at"] == 0 else (base + high["at"], high["first_doc"], high["first_line"]))
         base += high["at"] + 1
-    told = placed.sparkSession.createDataFrame([tuple(f) for f in fixes], "pid int, base long, low_rank long, low_doc long, low_line int, low_on boolean, high_at long, high_on boolean")
+    kinds = (("pid", pa.int32()), ("base", pa.int64()), ("low_rank", pa.int64()), ("low_doc", pa.int64()), ("low_line", pa.int32()), ("low_on", pa.bool_()), ("high_at", pa.int64()), ("high_on", pa.bool_()))
+    told = placed.sparkSession.createDataFrame(pa.table({k: pa.array([f[i] for f in fixes], t) for i, (k, t) in enumerate(kinds)}))
     joined = placed.join(F.broadcast(told), "pid")
     low = F.col("at") == 0
     alone = F.col("alone") & ~(low & F.col("low_on")) & ~((F.col("at") == F.col("high_at")) & F.col("high_on"))
@@ -151,15 +152,14 @@ def suffix_intervals(lines: DataFrame, scratch: Scratch, least: int, least_words
     (and is not kept up beyond ``least``).
     """
     h, ranks = 1, _ranked(lines, ["l0", "l1"], scratch, "rank1")
-    ranks = scratch.keep(ranks, "level1")
     while not ranks.isEmpty():
         yield h, ranks
         for n in range(h + 1, min(least + 1, 2 * h)):
             # The first h and the last h of n lines: the words between are counted once.
             pairs = _shifted(ranks, n - h)
-            yield n, scratch.keep(_counted(_ranked(pairs, ["rank", "next"], scratch, f"rank{n}"), lines, n, least, least_words), f"level{n}")
+            yield n, _counted(_ranked(pairs, ["rank", "next"], scratch, f"rank{n}"), lines, n, least, least_words)
         pairs = _shifted(ranks, h).withColumn("words", F.col("words") + F.col("more"))
-        ranks = scratch.keep(_ranked(pairs, ["rank", "next"], scratch, f"rank{2 * h}"), f"level{2 * h}")
+        ranks = _ranked(pairs, ["rank", "next"], scratch, f"rank{2 * h}")
         h *= 2
 
 
