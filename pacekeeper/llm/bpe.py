@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -133,26 +134,32 @@ class Bpe:
                     push(heap, r << 32 | h)
         return [i for i in ids if i >= 0]
 
-    def _piece(self, piece: str) -> tuple[int, str, str]:
-        """Count, ids and decoded text of a pre-token."""
+    def _held(self, ids: list[int]) -> tuple:
+        """What the tables hold of a word: count, ids and decoded text."""
+        return len(ids), " ".join(map(str, ids)), self.decode(ids)
+
+    def _joined(self, parts: list[tuple]) -> tuple:
+        return sum(p[0] for p in parts), " ".join([p[1] for p in parts if p[0]]), " ".join([p[2] for p in parts if p[0]])
+
+    def _piece(self, piece: str) -> tuple:
+        """What is held of a pre-token."""
         found = self._pieces.get(piece)
         if found is None:
-            ids = self.merge(piece)
-            found = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+            found = self._held(self.merge(piece))
             self._pieces.put(piece, found)
         return found
 
-    def _word(self, word: str) -> tuple[int, str, str]:
-        """Count, ids and decoded text of what stands between two spaces."""
+    def _word(self, word: str) -> tuple:
+        """What is held of what stands between two spaces."""
         found = self._words.get(word)
         if found is None:
             parts = [self._piece(p) for p in _PIECES.findall(word)]
-            found = parts[0] if len(parts) == 1 else (sum(p[0] for p in parts), " ".join([p[1] for p in parts if p[0]]), " ".join([p[2] for p in parts if p[0]]))
+            found = parts[0] if len(parts) == 1 else self._joined(parts)
             self._words.put(word, found)
         return found
 
-    def _parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(count, ids, decoded) of words and special marks in order, without those of no tokens."""
+    def _parts(self, text: str) -> list[tuple]:
+        """What is held of words and special marks in order."""
         if not any(m in text for m in self.special):
             young, word = self._words.young.get, self._word
             parts = [young(w) or word(w) for w in self._split(text)]
@@ -160,10 +167,10 @@ class Bpe:
             parts, at = [], 0
             for m in self.marks.finditer(text):
                 parts += map(self._word, self._split(text[at : m.start()]))
-                parts.append((1, str(self.special[m[0]]), m[0]))
+                parts.append(self._held([self.special[m[0]]]))
                 at = m.end()
             parts += map(self._word, self._split(text[at:]))
-        return [p for p in parts if p[0]]
+        return parts
 
     @staticmethod
     def _split(text: str) -> list[str]:
@@ -171,21 +178,34 @@ class Bpe:
         return _WORDS.findall(flat.lower())
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self._parts(text) for i in ids.split(" ")]
+        return [int(i) for n, ids, _ in self._parts(text) if n for i in ids.split(" ")]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.strings[i] for i in ids)
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by a space, SHA-256 of the decoded text."""
-        parts = self._parts(text)
+        parts = [p for p in self._parts(text) if p[0]]
         sha = lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode()).hexdigest()
         return sum(p[0] for p in parts), sha(1), sha(2)
 
 
+class IdBpe(Bpe):
+    """For ids alone: the tables hold the ids of a word, which are objects of the vocabulary, and no strings made of them."""
+
+    def _held(self, ids: list[int]) -> tuple:
+        return tuple(ids)
+
+    def _joined(self, parts: list[tuple]) -> tuple:
+        return tuple(chain.from_iterable(parts))
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self._parts(text)))
+
+
 @lru_cache(maxsize=2)
-def _loaded(source: str) -> Bpe:
-    return Bpe(source)
+def _loaded(source: str, kind: type[Bpe]) -> Bpe:
+    return kind(source)
 
 
 def _source(spark, vocabulary: str):
@@ -196,13 +216,13 @@ def _source(spark, vocabulary: str):
     return spark.sparkContext.broadcast(source)
 
 
-def _map(docs: DataFrame, vocabulary: str, names: list[str], schema: str, fn) -> DataFrame:
+def _map(docs: DataFrame, vocabulary: str, names: list[str], schema: str, fn, kind: type[Bpe] = IdBpe) -> DataFrame:
     source = _source(docs.sparkSession, vocabulary)
 
     def run(batch: pa.RecordBatch):
-        yield fn(_loaded(source.value), batch)
+        yield fn(_loaded(source.value, kind), batch)
 
-    return arrow_map(docs.select(*names), run, schema, 512, lambda: _loaded(source.value).forget())
+    return arrow_map(docs.select(*names), run, schema, 512, lambda: _loaded(source.value, kind).forget())
 
 
 def token_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -213,7 +233,7 @@ def token_digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
         return {"doc_id": batch.column(0), "n_tokens": pa.array([f[0] for f in found], pa.int64()), "ids_sha256": pa.array([f[1] for f in found], pa.string()), "decoded_sha256": pa.array([f[2] for f in found], pa.string())}
 
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return _map(plain, vocabulary, ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", fn)
+    return _map(plain, vocabulary, ["doc_id", "text"], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", fn, Bpe)
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:

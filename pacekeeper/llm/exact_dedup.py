@@ -84,10 +84,8 @@ def verified_level(docs: DataFrame, text: str = "text", bits: int = 128) -> int:
     raise RuntimeError("two different chunks share both identifiers")
 
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 128) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, n_chunks for every row of ``docs``."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact")
+def _recipes(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
+    """doc_id, text_sha256, n_chunks, recipe and a row number for every row of ``docs``."""
     level = verified_level(docs, text, bits)
 
     def recipes(batch: pa.RecordBatch):
@@ -102,19 +100,30 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits:
 
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text))
     rows = arrow_map(plain, recipes, "doc_id long, text_sha256 string, n_chunks int, recipe binary")
-    rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    return rows.withColumn("row", F.monotonically_increasing_id())
+
+
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = 128) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, n_chunks for every row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "exact")
+    rows = scratch.keep(_recipes(docs, key, text, bits), "rows")
     rank = F.coalesce("doc_id", F.lit(_LOWEST))
     groups = scratch.keep(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max_by("row", rank).alias("keep_row")), "groups")
     return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_chunks")
 
 
 def drop_exact_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay."""
-    spark = docs.sparkSession
-    found = Scratch(spark, "exact-kept").keep(exact_dedup(docs, key, text).select("doc_id", "keep_id", "kept", F.col("text_sha256").alias("__pk_sha")), "decisions")
-    stay = found.filter("kept").select(F.col("doc_id").alias("__pk_id"), "__pk_sha")
+    """``docs`` without the rows that ``exact_dedup`` drops; all columns stay.
+
+    One row of each group is all that this needs, so the groups are the only table that is written.
+    """
+    rank = F.coalesce("doc_id", F.lit(_LOWEST))
+    last, first = F.max(F.struct(rank, F.col("row").alias("row")))["row"], -F.max(F.struct(rank, (-F.col("row")).alias("row")))["row"]
+    groups = _recipes(docs, key, text, 128).groupBy("recipe").agg(F.max("doc_id").alias("__pk_id"), F.min("text_sha256").alias("__pk_sha"), (last != first).alias("repeated"))
+    groups = Scratch(docs.sparkSession, "exact-kept").keep(groups.select("__pk_id", "__pk_sha", "repeated"), "groups")
+    stay = groups.select("__pk_id", "__pk_sha")
     told = docs.withColumn("__pk_sha", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     left = told.join(stay, F.col(key).cast("long").eqNullSafe(F.col("__pk_id")) & (told["__pk_sha"] == stay["__pk_sha"]), "left_semi")
-    if not found.filter("not kept and doc_id <=> keep_id").isEmpty():  # rows repeated with one doc_id
+    if not groups.filter("repeated").isEmpty():  # rows repeated with one doc_id
         left = left.dropDuplicates([key, "__pk_sha"])
     return left.drop("__pk_sha")

@@ -102,6 +102,20 @@ def test_exact_repeated_rows_and_nulls(spark):
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
 
 
+def test_exact_copies_go_with_one_written_table(spark, monkeypatch):
+    """Each file that an executor writes starts a child of its JVM, whose memory counts twice until the child is another program."""
+    written, keep = [], exact_dedup.Scratch.keep
+    monkeypatch.setattr(exact_dedup.Scratch, "keep", lambda self, df, name, *parts: written.append(name) or keep(self, df, name, *parts))
+    rng = random.Random(6)
+    rows = [(rng.choice([None, -(2**63), *range(8)]), rng.choice(["a", "b", "", None, "c " * 3000])) for _ in range(200)]
+    left = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    best = {}
+    for d, t in rows:
+        best[t or ""] = max(best.get(t or "", (False, 0)), (d is not None, d or 0))
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), r.text or "") for r in left.collect()) == sorted((v, t) for t, v in best.items())
+    assert written == ["groups"]
+
+
 # -- simhash ----------------------------------------------------------------
 
 
@@ -248,6 +262,18 @@ def test_bpe_of_repeated_rows_and_other_columns(spark):
     assert bpe.round_trip(df, vocabulary_path()).count() == 3
 
 
+def test_bpe_for_ids_holds_no_strings():
+    """Two workers of an executor hold such tables beside its JVM."""
+    lib = Tokenizer.from_file(vocabulary_path())
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        some = bpe.IdBpe(f.read())
+    rng = random.Random(8)
+    for text in ["".join(rng.choices("abcdeé'sdt  .,!12日\n\x85<|endoftext|>", k=80)) + " <|endoftext|>x" * (i % 2) for i in range(300)] + ["", " \n", "!" * 70, "don't" * 40]:
+        assert some.encode(text) == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    held = [*some._words.young.values(), *some._pieces.young.values()]
+    assert held and all(type(i) is int for found in held for i in found)
+
+
 # -- language ID ------------------------------------------------------------
 
 
